@@ -49,6 +49,14 @@ def _folding_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(single_from), "".join(single_to), tuple(several)
 
 
+def _char_class(chars: list[str]) -> str:
+    """A regular-expression class of the characters, neighbours joined to ranges."""
+    points = sorted(map(ord, chars))
+    starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
 @functools.lru_cache(maxsize=None)
 def _digit_tables() -> tuple[str, str]:
     """Every non-ASCII decimal digit and its ASCII twin, derived from the Unicode data."""
@@ -71,7 +79,7 @@ def norm_label(c: Column) -> Column:
     source, target, several = _folding_tables()
     # One literal: each entry is a character followed by what it folds to.
     pairs = F.split(F.lit(" ".join(a + b for a, b in several)), " ")
-    rare = "[" + "".join(a for a, _ in several) + "]"
+    rare = _char_class([a for a, _ in several])
     spread = F.when(
         text.rlike(rare),
         F.aggregate(
@@ -80,7 +88,7 @@ def norm_label(c: Column) -> Column:
         ),
     ).otherwise(text)
     folded = F.when(_is_ascii(text), text).otherwise(F.translate(spread, source, target))
-    return F.regexp_replace(F.lower(folded), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(folded), "[^a-z0-9]+", "")
 
 
 def join_key(place: Column) -> Column:

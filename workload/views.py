@@ -351,8 +351,8 @@ def price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(number % 10 == 8, F.lit("<p>We don't have enough data</p>"))
         .when(number % 10 == 9, F.lit("<table class='other'></table>"))
         .otherwise(F.concat(
-            F.lit("<a href='/list?country="), F.replace("country", F.lit("_0"), F.lit("+")),
-            F.lit("'>c</a><table class='data_wide_table x'><tr><th>Item</th><th>Price</th></tr>"
+            F.lit('<a href="/list?country='), F.replace("country", F.lit("_0"), F.lit("+")),
+            F.lit("\">c</a><table class='data_wide_table x'><tr><th>Item</th><th>Price</th></tr>"
                   "<tr><td>only one cell</td></tr>"),
             "body", F.lit("</table>"),
         ))
