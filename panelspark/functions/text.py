@@ -100,13 +100,19 @@ def split_place(label: Column) -> Column:
     """``struct(place, city, subdivision, country)``; the country is the last part."""
     clean = squash(F.coalesce(label, F.lit("")))
     parts = F.filter(F.transform(F.split(clean, ","), lambda p: F.trim(p)), lambda p: p != "")
-    n = F.size(parts)
-    return F.struct(
-        F.when(n == 0, clean).otherwise(F.array_join(parts, ", ")).alias("place"),
-        F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("city"),
-        F.array_join(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), ", ").alias("subdivision"),
-        F.when(n >= 2, F.try_element_at(parts, F.lit(-1))).otherwise(F.lit("")).alias("country"),
-    )
+
+    def named(both: Column) -> Column:
+        text, p = both["text"], both["parts"]
+        n = F.size(p)
+        return F.struct(
+            F.when(n == 0, text).otherwise(F.array_join(p, ", ")).alias("place"),
+            F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("city"),
+            F.array_join(F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))), ", ").alias("subdivision"),
+            F.when(n >= 2, F.try_element_at(p, F.lit(-1))).otherwise(F.lit("")).alias("country"),
+        )
+
+    # A one-element transform binds the parts once for all four fields.
+    return F.get(F.transform(F.array(F.struct(clean.alias("text"), parts.alias("parts"))), named), F.lit(0))
 
 
 def slug_guess(name: Column, slug: Column, country: Column) -> Column:

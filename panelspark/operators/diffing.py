@@ -89,28 +89,31 @@ def compared(pairs: DataFrame) -> DataFrame:
     )
 
 
-def excluded_rows(table: DataFrame, side: str) -> DataFrame:
-    """Rows the join refuses: every copy of a repeated key, and labels without a key."""
-    rows = table.select("place", "city", "country", F.col("place_key").alias("key"))
-    counted = rows.filter(_keyed()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = rows_with_counted_keys(rows.filter(_keyed()), counted, ["key"])
-    parts = repeated.withColumn("status", F.lit("duplicate_key")).unionByName(
-        rows.filter(~_keyed()).withColumn("status", F.lit("unkeyable_label"))
-    )
-    return parts.withColumn("reason", F.lit(f"excluded_from_{side}_snapshot"))
-
-
 def excluded_keys(pairs: DataFrame) -> DataFrame:
-    """``(side, key, reason, n_rows)`` for every excluded key; needs no row-level join."""
+    """``(side, key, reason, n)`` for every excluded key; needs no row-level join."""
     per_side = pairs.select(
         "key", F.inline(F.array(
-            F.struct(F.lit("from").alias("side"), F.col("n_from").alias("n_rows")),
-            F.struct(F.lit("to").alias("side"), F.col("n_to").alias("n_rows")),
+            F.struct(F.lit("from").alias("side"), F.col("n_from").alias("n")),
+            F.struct(F.lit("to").alias("side"), F.col("n_to").alias("n")),
         )),
     )
     reason = F.when(_keyed(), "duplicate_key").otherwise("unkeyable_label")
-    return per_side.filter((_keyed() & (F.col("n_rows") > 1)) | (~_keyed() & (F.col("n_rows") > 0))).select(
-        "side", "key", reason.alias("reason"), "n_rows"
+    return per_side.filter((_keyed() & (F.col("n") > 1)) | (~_keyed() & (F.col("n") > 0))).select(
+        "side", "key", reason.alias("reason"), "n"
+    )
+
+
+def excluded_rows(from_table: DataFrame, to_table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows the join refuses: every copy of a repeated key, and labels without a key."""
+    columns = ["place", "city", "country", F.col("place_key").alias("key")]
+    rows = from_table.select(F.lit("from").alias("side"), *columns).unionByName(
+        to_table.select(F.lit("to").alias("side"), *columns)
+    )
+    refused = rows_with_counted_keys(rows, excluded_keys(pairs).drop("reason"), ["side", "key"])
+    return refused.select(
+        "place", "city", "country", "key",
+        F.when(_keyed(), "duplicate_key").otherwise("unkeyable_label").alias("status"),
+        F.concat(F.lit("excluded_from_"), "side", F.lit("_snapshot")).alias("reason"),
     )
 
 
@@ -124,9 +127,9 @@ def with_sizes(rows: DataFrame, from_table: DataFrame, to_table: DataFrame) -> D
 
 def diff_rows(from_table: DataFrame, to_table: DataFrame, column: str) -> DataFrame:
     """Every row of the union, with one fixed row schema."""
-    rows = compared(pair_by_key(from_table, to_table, column))
-    for side, table in (("from", from_table), ("to", to_table)):
-        rows = rows.unionByName(excluded_rows(table, side), allowMissingColumns=True)
+    pairs = pair_by_key(from_table, to_table, column)
+    refused = excluded_rows(from_table, to_table, pairs)
+    rows = compared(pairs).unionByName(refused, allowMissingColumns=True)
     return with_sizes(rows, from_table, to_table)
 
 

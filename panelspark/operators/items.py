@@ -13,9 +13,8 @@ from ..vocab import CONVERSION_NOTES, IMPERIAL_MARKERS, IMPERIAL_TO_METRIC, ITEM
 
 def candidate_keys(label: Column, spellings: Sequence[tuple[str, str]] = ITEM_SPELLINGS) -> Column:
     """Item keys whose spelling occurs in the label, in declared order, each once."""
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s, k in spellings])
-    hits = F.filter(table, lambda e: F.contains(label, e["s"]))
-    return F.array_distinct(F.transform(hits, lambda e: e["k"]))
+    hits = F.array(*[F.when(F.contains(label, F.lit(s)), F.lit(k)) for s, k in spellings])
+    return F.array_distinct(F.array_compact(hits))
 
 
 def keyed_items(items: DataFrame, spellings: Sequence[tuple[str, str]] = ITEM_SPELLINGS) -> DataFrame:
@@ -31,7 +30,9 @@ def keyed_items(items: DataFrame, spellings: Sequence[tuple[str, str]] = ITEM_SP
     labelled = items.select(
         "entity", "pos", squash(F.col("label")).alias("label"), squash(F.col("value_text")).alias("value_text")
     )
-    matched = labelled.withColumn("keys", candidate_keys(F.col("label"), spellings)).filter(F.size("keys") > 0)
+    # Rows without any key stay (at most ``longest`` of them) and take nothing below:
+    # a filter on the keys would work them out a second time.
+    matched = labelled.withColumn("keys", candidate_keys(F.col("label"), spellings))
     in_order = Window.partitionBy("entity", "keys").orderBy("pos")
     contenders = matched.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") <= longest)
     lists = contenders.groupBy("entity").agg(

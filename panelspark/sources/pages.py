@@ -6,10 +6,8 @@ by Spark, and everything after the tables are cut out is Column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import to_number
@@ -17,114 +15,41 @@ from ..functions.snapshots import is_snapshot_id
 from ..functions.text import country_of_link, join_key, split_place, squash
 from ..operators.headers import header_index_expr
 from ..vocab import NO_SELECTION_TEXTS, THIN_DATA_TEXT, UNKNOWN_ENTITY_TEXT
+from . import html_reader
 
 TABLE_TYPE = (
     "struct<id:string,classes:array<string>,header:array<string>,rows:array<array<string>>>"
 )
 
 
-class _Tokens(HTMLParser):
-    """A page as a flat list of (kind, payload) marks."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.marks: list[tuple[str, object]] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.marks.append(("open " + tag, attrs))
-
-    def handle_startendtag(self, tag, attrs):
-        if tag == "br":
-            self.marks.append(("open br", attrs))
-
-    def handle_endtag(self, tag):
-        self.marks.append(("close " + tag, None))
+# Tasks receive these functions by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(html_reader)
 
-    def handle_data(self, data):
-        self.marks.append(("text", data))
 
+def _page_batches(keep: list[str], want_text: bool, want_tables: bool):
+    to_marks, to_words, to_tables = html_reader.page_marks, html_reader.visible_words, html_reader.page_tables
 
-def _marks(html: str | None) -> list[tuple[str, object]]:
-    reader = _Tokens()
-    reader.feed(html or "")
-    reader.close()
-    return reader.marks
-
-
-def _visible(marks: list[tuple[str, object]]) -> str:
-    shown, words = True, []
-    for kind, payload in marks:
-        if kind in ("open script", "open style"):
-            shown = False
-        elif kind in ("close script", "close style"):
-            shown = True
-        elif kind == "text" and shown:
-            words.append(payload)
-    return " ".join(" ".join(words).split())
-
-
-def _tables(marks: list[tuple[str, object]]) -> list[dict]:
-    """Tables in closing order; an unclosed one is dropped.
+    def read(batches):
+        for batch in batches:
+            marks = batch["html"].map(to_marks)
+            batch["text"] = marks.map(to_words) if want_text else None
+            batch["tables"] = marks.map(to_tables) if want_tables else None
+            yield batch[[*keep, "text", "tables"]]
 
-    Row and cell are single slots shared by nested tables, and a row counts as a
-    header row once a <th> of it held text.
-    """
-    done, nest = [], []
-    row = cell = None
-    in_th = header_row = False
-    for kind, payload in marks:
-        if kind == "text":
-            if cell is not None:
-                cell.append(payload)
-                header_row = header_row or in_th
-        elif kind == "open br":
-            if cell is not None:
-                cell.append(" ")
-        elif kind == "open table":
-            named = {k: v or "" for k, v in payload}
-            nest.append({
-                "id": named.get("id", ""), "classes": sorted(set(named.get("class", "").split())),
-                "header": [], "rows": [],
-            })
-        elif kind in ("close td", "close th"):
-            if cell is not None:
-                text = " ".join("".join(cell).split())
-                if row is not None:
-                    row.append(text)
-                if in_th and nest:
-                    nest[-1]["header"].append(text)
-                cell = None
-        elif nest and kind == "open tr":
-            row = []
-        elif nest and kind in ("open td", "open th"):
-            cell, in_th = [], kind == "open th"
-        elif nest and kind == "close tr":
-            if row and any(row) and not header_row:
-                nest[-1]["rows"].append(row)
-            row, header_row = None, False
-        elif nest and kind == "close table":
-            done.append(nest.pop())
-    return done
+    return read
 
 
 def read_pages(pages: DataFrame, *, want_text: bool = True, want_tables: bool = True) -> DataFrame:
-    """Adds ``text`` (visible) and ``tables`` to pages; ``html`` stays a column.
+    """Replaces ``html`` by ``text`` (visible) and ``tables``.
 
-    One pass over each page yields both, so a job that needs the triage and the
-    rows tokenises every page once.
+    One pass over each page yields both, and the page itself does not travel back
+    from the Python side.
     """
-    keep = list(pages.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    schema += f", text string, tables array<{TABLE_TYPE}>"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            marks = batch["html"].map(_marks)
-            batch["text"] = marks.map(_visible) if want_text else None
-            batch["tables"] = marks.map(_tables) if want_tables else None
-            yield batch[[*keep, "text", "tables"]]
-
-    return pages.mapInPandas(read, schema)
+    keep = [f for f in pages.schema.fields if f.name != "html"]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    schema += f"text string, tables array<{TABLE_TYPE}>"
+    names = [f.name for f in keep]
+    return pages.select(*names, "html").mapInPandas(_page_batches(names, want_text, want_tables), schema)
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
@@ -173,13 +98,18 @@ def price_status(table: Column, text: Column) -> Column:
 
 
 def triage(pages: DataFrame, *, kind: str = "ranking") -> DataFrame:
-    """Pages with their table and ``page_status``; one bad page never stops the rest."""
-    read = read_pages(pages)
+    """Pages with their table and ``page_status``; one bad page never stops the rest.
+
+    ``has_page`` is false where the read itself failed (``html`` is NULL); price
+    pages also get ``country``, taken from the page's own link.
+    """
+    marked = pages.withColumn("has_page", F.col("html").isNotNull())
     if kind == "ranking":
         table, status = first_table(F.col("tables"), table_id="t2"), ranking_status
     else:
+        marked = marked.withColumn("country", country_of_link(F.col("html")))
         table, status = first_table(F.col("tables"), css_class="data_wide_table"), price_status
-    found = read.withColumn("table", table)
+    found = read_pages(marked).withColumn("table", table)
     return found.withColumn("page_status", status(F.col("table"), F.col("text"))).drop("tables", "text")
 
 
@@ -224,8 +154,7 @@ def item_rows(triaged: DataFrame, entity: str = "entity") -> DataFrame:
     """Label and value cells of good price pages; rows of one cell carry no price."""
     good = triaged.filter("page_status = 'ok'")
     rows = good.select(
-        F.col(entity).alias("entity"), country_of_link(F.col("html")).alias("country"),
-        F.posexplode("table.rows").alias("pos", "cells"),
+        F.col(entity).alias("entity"), "country", F.posexplode("table.rows").alias("pos", "cells")
     )
     return rows.filter(F.size("cells") >= 2).select(
         "entity", "country", "pos", squash(F.get("cells", F.lit(0))).alias("label"),
@@ -267,20 +196,21 @@ def snapshot_options(pages: DataFrame, carry: list[str]) -> DataFrame:
 def decode_pages(files: DataFrame, content_type: Column | None = None) -> DataFrame:
     """``binaryFile`` rows to text: UTF-8 (mark stripped), else the declared charset, else lenient.
 
-    Java's decoder replaces bad bytes, so the replacement mark tells whether plain
-    UTF-8 was right.
+    Valid UTF-8 is decoded in the JVM; only the other pages hand their bytes to
+    Python, which knows every charset a page may declare.
     """
-    utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    lenient = F.make_valid_utf8(F.col("content").cast("string"))
-    other = lenient
+    text = F.col("content").cast("string")
+    plain = F.is_valid_utf8(text)
+    charset = F.lit(None).cast("string")
     if content_type is not None:
-        charset = F.lower(F.regexp_extract(content_type, r"(?i)charset=\s*([^;\s]+)", 1))
-        latin = charset.isin("iso-8859-1", "latin-1", "latin1")
-        other = (
-            F.when(latin, F.decode("content", "ISO-8859-1"))
-            .when(charset == "us-ascii", F.decode("content", "US-ASCII"))
-            .when(charset.isin("utf-16", "utf-16le", "utf-16be"), F.decode("content", "UTF-16"))
-            .otherwise(lenient)
-        )
-    text = F.regexp_replace(F.coalesce(utf8, other), "^﻿", "")
-    return files.withColumn("html", text)
+        declared = F.regexp_extract(F.lower(content_type), "charset=([^;]*)", 1)
+        charset = F.nullif(F.trim(declared), F.lit(""))
+    decode = html_reader.decode_declared
+
+    @F.pandas_udf("string")
+    def other(content: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([decode(c, n) for c, n in zip(content, name)], dtype=object)
+
+    odd = other(F.when(~plain, F.col("content")), charset)
+    stripped = F.regexp_replace(text, r"^\x{FEFF}", "")
+    return files.withColumn("html", F.when(plain, stripped).otherwise(odd))

@@ -28,12 +28,12 @@ def outcomes(triaged: DataFrame) -> DataFrame:
     A missing page text is a failed read.
     """
     changed = F.col("page_status") == "layout_changed"
-    stop = one_row(triaged.agg(F.min(F.when(F.col("html").isNotNull() & changed, F.col("item_no"))).alias("stop_no")))
+    stop = one_row(triaged.agg(F.min(F.when(F.col("has_page") & changed, F.col("item_no"))).alias("stop_no")))
     behind = F.coalesce(F.col("item_no") > F.col("stop_no"), F.lit(False))
     return triaged.crossJoin(stop).withColumn(
         "outcome",
         F.when(behind, "not_attempted")
-        .when(F.col("html").isNull(), "failed")
+        .when(~F.col("has_page"), "failed")
         .when(changed, "unresolved")
         .when(F.col("page_status") == "no_such_selection", "empty")
         .otherwise("ok"),

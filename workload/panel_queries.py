@@ -133,7 +133,7 @@ def movers_dup_counts(spark, sf):
 
 @query("movers_excluded_keys", DUPLICATES + """
     SELECT 'from' AS side, key, CASE WHEN key = '' THEN 'unkeyable_label' ELSE 'duplicate_key' END AS reason,
-           count(*) AS n_rows FROM a_all WHERE key = '' OR n > 1 GROUP BY key
+           count(*) AS n FROM a_all WHERE key = '' OR n > 1 GROUP BY key
     UNION ALL SELECT 'to', key, CASE WHEN key = '' THEN 'unkeyable_label' ELSE 'duplicate_key' END, count(*)
     FROM b_all WHERE key = '' OR n > 1 GROUP BY key""")
 def movers_excluded_keys(spark, sf):
