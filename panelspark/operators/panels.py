@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import snapshots as snap
 from ..functions.text import join_key, split_place
 from ..vocab import CURRENT, REGIONS, VERTICALS, VIEWS
+from .numbering import number_rows
 
 SLICE = ["vertical", "view", "region", "snapshot"]
 PANEL_COLUMNS = [*SLICE, "rank", "row_no", "place", "city", "subdivision", "country", "metrics", "place_key"]
@@ -45,6 +46,12 @@ def as_panel(
     )
 
 
+def with_ranks(panel: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Number the rows of every slice; on tables that come without a page order."""
+    numbered = number_rows(panel.drop("rank", "row_no"), SLICE, order, "rank")
+    return numbered.withColumn("row_no", F.col("rank")).select(*PANEL_COLUMNS)
+
+
 def select_slice(
     panel: DataFrame,
     vertical: str | None = None,

@@ -9,8 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.operators.numbering import number_rows
-from panelspark.operators.panels import as_panel
+from panelspark.operators.panels import as_panel, with_ranks
 from panelspark.vocab import ITEM_KEYS
 
 METRICS = ["Order Revenue", "Order Count", "Max Order"]
@@ -84,14 +83,13 @@ def customer_panel(
 ) -> DataFrame:
     """Customers by order year; ranked by revenue when ranks are asked for."""
     figures = customer_figures(spark, sf_dir, years, keep)
-    rank = None
-    if ranked:
-        figures = number_rows(figures, ["snapshot"], [F.col("revenue").desc(), F.col("label").asc()], "rank")
-        rank = F.col("rank")
-    return as_panel(
-        figures, label=F.col("label"), snapshot=F.col("snapshot"), rank=rank,
+    panel = as_panel(
+        figures, label=F.col("label"), snapshot=F.col("snapshot"),
         metrics={"Order Revenue": F.col("revenue"), "Order Count": F.col("orders_n"), "Max Order": F.col("top_order")},
     )
+    if not ranked:
+        return panel
+    return with_ranks(panel, [F.try_element_at("metrics", F.lit("Order Revenue")).desc(), F.col("place").asc()])
 
 
 def slice_of(panel: DataFrame, snapshot: str) -> DataFrame:
@@ -119,14 +117,14 @@ def part_panels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.when(F.col("p_size") >= 29, F.lit("2002")).alias("b"),
     )
     both = parts.select("*", F.explode(F.array_compact(F.array("a", "b"))).alias("snapshot"))
-    numbered = number_rows(both, ["snapshot"], [F.col("p_partkey")], "rank")
     price = F.when(F.col("snapshot") == "2002", F.col("p_retailprice") + F.col("p_size")).otherwise(
         F.col("p_retailprice")
     )
     panel = as_panel(
-        numbered, label=F.col("label"), snapshot=F.col("snapshot"), rank=F.col("rank"),
-        metrics={"Retail Price": price},
+        both, label=F.col("label"), snapshot=F.col("snapshot"),
+        metrics={"Retail Price": price, "Part Key": F.col("p_partkey")},
     )
+    panel = with_ranks(panel, [F.try_element_at("metrics", F.lit("Part Key")).asc()])
     return slice_of(panel, "2001"), slice_of(panel, "2002")
 
 
