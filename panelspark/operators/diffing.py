@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import abs_change, finite, pct_change, share
-from ..session import one_row, rows_with_counted_keys
+from ..session import checkpointed, one_row, rows_with_counted_keys
 from ..vocab import (
     DISTINCT_DELTA_FLOOR, DISTINCT_DELTA_MIN_SAMPLE, FROZEN_COLUMN_MIN_SAMPLE, MIN_OVERLAP,
     REBASE_DIRECTION_SHARE, REBASE_MIN_SAMPLE, SAMPLE_ROWS, STATUSES,
@@ -156,29 +156,30 @@ def control_evidence(comparable: Column, moved: Column) -> Column:
 def summary(pairs: DataFrame) -> DataFrame:
     """One row: status counts, statistics, overlap, control evidence and the two medians.
 
-    The counts come from a single pass over the paired keys; only the distinct
-    deltas and the medians add a shuffle, and both combine on the map side.
+    The figures of every key are fixed once, as a narrow table of numbers, so that
+    the counts, the distinct deltas and the medians do not each join the two
+    snapshots again.  All of them combine on the map side.
     """
     comparable, moved_control = _control_flags()
     here_from, here_to = F.col("n_from") == 1, F.col("n_to") == 1
     joined = _keyed() & here_from & here_to
     change = abs_change(F.col("f.value"), F.col("t.value"))
-    base = pairs.select(
-        "key", "n_from", "n_to", joined.alias("joined"),
+    base = checkpointed(pairs.select(
+        _keyed().alias("keyed"), "n_from", "n_to", joined.alias("joined"),
         F.when(joined, change["delta"]).alias("delta"),
         F.when(joined, pct_change(F.col("f.value"), F.col("t.value"))["pct"]).alias("pct"),
         F.when(~_keyed(), "unkeyable_label")
         .when(joined, F.coalesce(change["reason"], F.lit("moved")))
         .when(here_to, "new").when(here_from, "delisted").alias("status"),
         comparable.alias("comparable"), moved_control.alias("moved_control"),
-    )
+    ))
 
     def rows_of(status: str) -> Column:
         if status == "unkeyable_label":
-            return F.sum(F.when(~_keyed(), F.col("n_from") + F.col("n_to")).otherwise(0))
+            return F.sum(F.when(~F.col("keyed"), F.col("n_from") + F.col("n_to")).otherwise(0))
         if status == "duplicate_key":
             repeats = lambda n: F.when(F.col(n) > 1, F.col(n)).otherwise(0)
-            return F.sum(F.when(_keyed(), repeats("n_from") + repeats("n_to")).otherwise(0))
+            return F.sum(F.when(F.col("keyed"), repeats("n_from") + repeats("n_to")).otherwise(0))
         return F.count_if(F.col("status") == status)
 
     delta = F.col("delta")

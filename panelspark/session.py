@@ -64,12 +64,17 @@ def one_row(df: DataFrame) -> DataFrame:
 def rows_with_counted_keys(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is listed in ``counted(on..., n)``, safe for hot keys.
 
-    ``counted`` holds one row per key with its row count ``n``.  Keys above
-    1/HEAVY_SHARE of the counted rows are matched by broadcast (there are at most
-    HEAVY_SHARE of them), so no shuffle partition ever receives a hot key.
+    ``counted`` holds one row per key with its row count ``n``; it is fixed once,
+    since its size decides the way.  Up to SMALL_SIDE_ROWS keys are broadcast, so
+    the rows are not shuffled at all.  Beyond that, keys above 1/HEAVY_SHARE of
+    the counted rows are matched by broadcast (at most HEAVY_SHARE can be) and only
+    the others by shuffle, so no shuffle partition ever receives a hot key.
     """
-    total = one_row(counted.agg(F.sum("n").alias("_total")))
-    graded = counted.crossJoin(total).withColumn("_heavy", F.col("n") * HEAVY_SHARE > F.col("_total"))
+    keys = checkpointed(counted.select(*on, "n"))
+    if keys.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS:
+        return rows.join(F.broadcast(keys.select(*on)), on, "left_semi")
+    total = one_row(keys.agg(F.sum("n").alias("_total")))
+    graded = keys.crossJoin(total).withColumn("_heavy", F.col("n") * HEAVY_SHARE > F.col("_total"))
     heavy = F.broadcast(graded.filter("_heavy").select(*on))
     light = graded.filter("NOT _heavy").select(*on)
     hot = rows.join(heavy, on, "left_semi")

@@ -108,10 +108,12 @@ def test_status_counts_name_every_status(status_sides):
     }
 
 
-def test_heavy_keys_are_kept_whole(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 1_000])
+def test_heavy_keys_are_kept_whole(spark, monkeypatch, small):
     import panelspark.session as session
 
     monkeypatch.setattr(session, "HEAVY_SHARE", 4)
+    monkeypatch.setattr(session, "SMALL_SIDE_ROWS", small)
     rows = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise((F.col("id") / 2).cast("int").cast("string")).alias("k"), "id")
     counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = session.rows_with_counted_keys(rows, counted, ["k"])
