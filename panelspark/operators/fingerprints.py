@@ -38,6 +38,18 @@ def distinct_tables(prints: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def repeated_anywhere(*readings: DataFrame) -> DataFrame:
+    """Groups under the repeat alarm in any reading (what a run holds, what is stored).
+
+    Neither reading contains the other, so the alarm is their distinct union.
+    """
+    flagged = [r.filter("repeated").select("vertical") for r in readings]
+    out = flagged[0]
+    for more in flagged[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def repeated_series(series: DataFrame) -> Column:
     """Aggregate: at least three found points and a single (metrics, table size)."""
     point = F.when(F.col("found"), F.struct(metrics_text(F.col("metrics")), F.col("of")))

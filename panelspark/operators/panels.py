@@ -144,3 +144,33 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
         "city string, subdivision string, country string, metrics map<string,double>, place_key string"
     )
     return spark.read.schema(schema).parquet(path).withColumn("region", F.coalesce("region", F.lit("")))
+
+
+def write_long_panel(panel: DataFrame, path: str) -> None:
+    """Store one row per (place, metric), partitioned down to the metric.
+
+    A map is read whole whatever key is asked for; here a query over one metric
+    opens only that metric's files.
+    """
+    (
+        long_panel(panel).hint("rebalance", *SLICE, "metric")
+        .write.partitionBy(*SLICE, "metric")
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(path)
+    )
+
+
+def read_metrics(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:
+    """A stored long panel as a panel of the named metrics (one metric: no shuffle)."""
+    schema = (
+        "vertical string, view string, region string, snapshot string, metric string, rank int, row_no int, "
+        "place string, city string, country string, place_key string, value double"
+    )
+    rows = spark.read.schema(schema).parquet(path).withColumn("region", F.coalesce("region", F.lit("")))
+    rows = rows.filter(F.col("metric").isin(*metrics))
+    entity = [*SLICE, "rank", "row_no", "place", "city", "country", "place_key"]
+    if len(metrics) == 1:
+        return rows.select(*entity, F.create_map("metric", "value").alias("metrics"))
+    entries = F.collect_list(F.struct("metric", "value"))  # at most one per named metric
+    return rows.groupBy(*entity).agg(F.map_from_entries(entries).alias("metrics"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import snapshots as snap
-from ..operators.fingerprints import panel_fingerprints
+from ..operators.corpus import grade
+from ..operators.fingerprints import distinct_tables, panel_fingerprints, repeated_anywhere
 from ..operators.panels import write_panel
 from ..session import checkpointed, one_row
 from ..sources.corpus_store import ENTRY, scan_corpus, stored_count, write_entries
@@ -50,19 +51,46 @@ def run_report(judged: DataFrame) -> DataFrame:
     ).withColumns({"aborted": F.col("aborted_at").isNotNull(), "executed": F.lit(True)})
 
 
+def with_completeness(report: DataFrame) -> DataFrame:
+    """Complete only when all was attempted, nothing failed or repeats, and all ok tables are stored."""
+    complete = (
+        ~F.col("aborted") & (F.col("failed") == 0) & (F.col("repeated_verticals") == 0)
+        & (F.col("attempted") == F.col("planned")) & (F.col("stored") == F.col("ok"))
+    )
+    return report.withColumn("complete", complete)
+
+
 def failure_rows(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("outcome").isin("failed", "unresolved", "empty")).select(
         "vertical", "snapshot", "item_no", "outcome", "page_status"
     )
 
 
+def latest_entries(versions: DataFrame) -> DataFrame:
+    """One entry per (vertical, snapshot) of a batch that may hold several versions of it.
+
+    The last version is kept; ``changed`` tells whether a table that had rows was
+    followed by a different one inside the batch.
+    """
+    real = F.col("fingerprint") != ""
+    first_real = F.min(F.when(real, F.col("item_no")))
+    last_blank = F.max(F.when(~real, F.col("item_no")))
+    return versions.groupBy(*ENTRY).agg(
+        F.max("item_no").alias("item_no"),
+        F.max_by(F.struct("fingerprint", "n_rows"), "item_no").alias("last"),
+        F.min_by("fingerprint", "item_no").alias("first_fingerprint"),
+        ((F.count_distinct(F.when(real, F.col("fingerprint"))) > 1)
+         | F.coalesce(first_real < last_blank, F.lit(False))).alias("changed"),
+    ).select(*ENTRY, "item_no", "first_fingerprint", "changed", "last.*")
+
+
 def with_sticky_moved(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """``moved`` once an entry's table differs from the stored one, and for good."""
     before = stored.select(*ENTRY, F.col("fingerprint").alias("_was"), F.col("moved").alias("_moved"))
     joined = entries.join(before, ENTRY, "left")
-    changed = F.coalesce((F.col("_was") != "") & (F.col("_was") != F.col("fingerprint")), F.lit(False))
-    moved = changed | F.coalesce(F.col("_moved"), F.lit(False))
-    return joined.withColumn("moved", moved).drop("_was", "_moved")
+    differs = F.coalesce((F.col("_was") != "") & (F.col("_was") != F.col("first_fingerprint")), F.lit(False))
+    moved = differs | F.col("changed") | F.coalesce(F.col("_moved"), F.lit(False))
+    return joined.withColumn("moved", moved).drop("_was", "_moved", "first_fingerprint", "changed")
 
 
 def ingest_batch(
@@ -70,23 +98,29 @@ def ingest_batch(
 ) -> DataFrame:
     """Parse, digest, merge, write and read back one batch; returns its one-row report."""
     spark = pages.sparkSession
+    version = [*ENTRY, "item_no"]
     # Triage runs the page reader; fixing it here keeps that to one pass over the pages.
     judged = checkpointed(outcomes(triage(pages)))
-    good = judged.filter("outcome = 'ok'").select(*ENTRY, "page_status", "table")
-    rows = ranking_rows(good, ENTRY).drop("columns").withColumns(
-        {"view": F.lit("city"), "region": F.lit("")}
-    )
-    write_panel(rows, panel_path)
-    prints = panel_fingerprints(rows, ENTRY)
-    entries = good.select(*ENTRY).join(prints, ENTRY, "left").select(
-        *ENTRY, F.lit(schema_tag).alias("schema_tag"), now.alias("fetched_at"), F.lit(True).alias("readable"),
-        F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    good = judged.filter("outcome = 'ok'").select(*version, "page_status", "table")
+    rows = ranking_rows(good, version).drop("columns")
+    prints = panel_fingerprints(rows, version)
+    versions = good.select(*version).join(prints, version, "left").select(
+        *version, F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")
     )
-    merged = with_sticky_moved(entries, _stored(spark, corpus_path))
+    merged = with_sticky_moved(latest_entries(versions), _stored(spark, corpus_path))
     # Entries are one row per page; fixing them keeps the overwrite from reading its own target.
-    final = checkpointed(merged.withColumn("keep", snap.is_archival(F.col("snapshot"), now, F.col("moved"))))
-    write_entries(final, corpus_path)
-    return run_report(judged).crossJoin(one_row(stored_count(spark, corpus_path, final, schema_tag)))
+    entries = checkpointed(merged.select(
+        *version, F.lit(schema_tag).alias("schema_tag"), now.alias("fetched_at"), F.lit(True).alias("readable"),
+        "moved", snap.is_archival(F.col("snapshot"), now, F.col("moved")).alias("keep"), "fingerprint", "n_rows",
+    ))
+    current = ranking_rows(good.join(entries.select(*version), version, "left_semi"), ENTRY)
+    write_panel(current.withColumns({"view": F.lit("city"), "region": F.lit("")}), panel_path)
+    write_entries(entries, corpus_path)
+    stored = one_row(stored_count(spark, corpus_path, good, schema_tag))
+    on_disk = scan_corpus(spark, corpus_path).filter(F.col("readable") & (F.col("schema_tag") == schema_tag))
+    alarm = repeated_anywhere(distinct_tables(entries, ["vertical"]), distinct_tables(on_disk, ["vertical"]))
+    repeated = one_row(alarm.agg(F.count(F.lit(1)).alias("repeated_verticals")))
+    return grade(with_completeness(run_report(judged).crossJoin(stored).crossJoin(repeated)))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:

@@ -145,6 +145,7 @@ def test_batch_outcomes_and_abort(spark, tmp_path):
     ]), **_paths(tmp_path)))
     assert (report.planned, report.ok, report.empty, report.failed, report.unresolved, report.attempted) == (5, 1, 1, 1, 1, 4)
     assert report.attempted == report.ok + report.empty + report.failed + report.unresolved
+    assert (report.complete, report.exit) == (False, 2)
     assert report.aborted and report.aborted_at.snapshot == "2017" and report.stored == 1
     stored = one(scan_corpus(spark, str(tmp_path / "corpus")))
     assert (stored.snapshot, stored.keep, stored.moved, stored.n_rows) == ("2014", True, False, 1) and stored.bytes > 0
@@ -164,6 +165,32 @@ def test_changed_snapshot_stays_moved(spark, tmp_path):
     assert panels.read_panel(spark, str(tmp_path / "panel")).count() == 2
 
 
+def test_one_table_under_three_ids_raises_the_alarm_until_it_is_repaired(spark, tmp_path):
+    a, b = page(row("", "A, X", "1", "2")), page(row("", "B, X", "1", "2"))
+    run = lambda rows: one(ingest.ingest_batch(_pages(spark, rows), **_paths(tmp_path)))
+    first = run([("crime", "2014", 1, a), ("crime", "2015", 2, a)])
+    assert (first.repeated_verticals, first.exit) == (0, 0)
+    third = run([("crime", "2016", 3, a)])
+    assert (third.repeated_verticals, third.complete, third.exit) == (1, False, 1)
+    other = run([("traffic", "2016", 4, a)])
+    assert (other.repeated_verticals, other.exit) == (1, 1)
+    repaired = run([("crime", "2016", 5, b)])
+    assert (repaired.repeated_verticals, repaired.complete, repaired.exit) == (0, True, 0)
+
+
+def test_versions_of_one_snapshot_in_one_batch(spark, tmp_path):
+    a, b, blank = page(row("", "A, X", "1", "2")), page(row("", "B, X", "3", "4")), page("")
+    report = one(ingest.ingest_batch(_pages(spark, [
+        ("crime", "2014", 1, a), ("crime", "2014", 2, b), ("crime", "2015", 3, a), ("crime", "2015", 4, a),
+        ("crime", "2016", 5, blank), ("crime", "2016", 6, a), ("crime", "2017", 7, a), ("crime", "2017", 8, blank),
+    ]), **_paths(tmp_path)))
+    assert (report.ok, report.stored, report.complete, report.exit) == (8, 8, True, 0)
+    moved = {r.snapshot: (r.moved, r.n_rows) for r in scan_corpus(spark, str(tmp_path / "corpus")).collect()}
+    assert moved == {"2014": (True, 1), "2015": (False, 1), "2016": (False, 1), "2017": (True, 0)}
+    stored = panels.read_panel(spark, str(tmp_path / "panel"))
+    assert sorted((r.snapshot, r.place) for r in stored.collect()) == [("2014", "B, X"), ("2015", "A, X"), ("2016", "A, X")]
+
+
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     source = str(tmp_path / "in")
     options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp"), "max_files": 1}

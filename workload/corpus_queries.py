@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import corpus as ops
+from panelspark.operators.fingerprints import distinct_tables, repeated_anywhere
 from panelspark.plans.audit import Audit, audit
 
 from .registry import query
@@ -127,3 +128,11 @@ def retention_kept(spark, sf):
 @query("corpus_cleared", SQL + " SELECT count(*) FILTER (NOT keep) AS removed, count(*) FILTER (keep) AS protected FROM corpus")
 def corpus_cleared(spark, sf):
     return ops.clear_report(event_corpus(spark, sf))
+
+
+@query("corpus_repeat_union", SQL + """, shifted AS (SELECT vertical, fingerprint, count(*) AS n FROM corpus
+      WHERE readable AND fingerprint <> '' GROUP BY 1, 2)
+    SELECT vertical FROM repeats WHERE repeated UNION SELECT vertical FROM shifted GROUP BY 1 HAVING max(n) >= 3""")
+def corpus_repeat_union(spark, sf):
+    held = distinct_tables(event_corpus(spark, sf).filter("readable"), ["vertical"])
+    return repeated_anywhere(_audit(spark, sf).repeats, held)

@@ -253,7 +253,8 @@ def ingest_stream_query(spark, sf):
 
 @query("ingest_report", STREAM + """, b AS (SELECT DISTINCT snapshot, block FROM numbered WHERE snapshot = '1996' AND block % 7 <> 5)
     SELECT count(*) AS planned, count(*) FILTER (block % 7 <> 3) AS ok, count(*) FILTER (block % 7 = 3) AS empty, 0::BIGINT AS failed,
-      0::BIGINT AS unresolved, count(*) AS attempted, count(*) FILTER (block % 7 <> 3) AS stored, false AS aborted FROM b""")
+      0::BIGINT AS unresolved, count(*) AS attempted, count(*) FILTER (block % 7 <> 3) AS stored, false AS aborted,
+      0::BIGINT AS repeated_verticals, true AS complete, 0 AS exit FROM b""")
 def ingest_report(spark, sf):
     from panelspark.streaming.ingest import PAGE_SCHEMA, ingest_batch
 
@@ -263,7 +264,8 @@ def ingest_report(spark, sf):
         spark.read.schema(PAGE_SCHEMA).parquet(f"{root}/pages"), panel_path=f"{root}/panel",
         corpus_path=f"{root}/corpus", schema_tag="panel-2", now=views.now(),
     )
-    return report.select("planned", "ok", "empty", "failed", "unresolved", "attempted", "stored", "aborted")
+    return report.select("planned", "ok", "empty", "failed", "unresolved", "attempted", "stored", "aborted",
+                         "repeated_verticals", "complete", "exit")
 
 
 @query("decoded_pages", "SELECT page_id, md5(html) AS digest FROM pages")

@@ -10,6 +10,7 @@ from panelspark.operators import diffing, fingerprints, headers, panels, places
 from panelspark.plans import movers as movers_plan
 from panelspark.plans.rank import rank
 from panelspark.plans.trend import trend
+from panelspark.session import scratch_path
 
 from . import views
 from .registry import query
@@ -502,3 +503,12 @@ def slice_identity(spark, sf):
     base = load(spark, sf, "orders").select(snapshot.alias("snapshot"), view.alias("view"))
     name = panels.slice_identity(F.lit("crime"), F.col("view"), F.lit("150"), F.col("snapshot"))
     return base.select(name.alias("slice")).distinct()
+
+
+@query("movers_from_store", MOVERS + f" SELECT {ROWS} FROM rows_of WHERE status <> 'delisted'")
+def movers_from_store(spark, sf):
+    path = scratch_path(spark, "long")
+    panels.write_long_panel(customer_panel(spark, sf, YEARS, ranked=True), path)
+    stored = panels.read_metrics(spark, path, ["Order Revenue"])
+    rows = diffing.diff_rows(slice_of(stored, "1996"), slice_of(stored, "2000"), "Order Revenue")
+    return rows.filter("status <> 'delisted'")
