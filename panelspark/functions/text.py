@@ -8,7 +8,8 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
+_ASCII_SPACE = r"[\s\x1c-\x1f]+"
+_SPACE = "(?U)" + _ASCII_SPACE
 
 
 def _is_ascii(c: Column) -> Column:
@@ -17,7 +18,8 @@ def _is_ascii(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Runs of Unicode whitespace become one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(c, _SPACE, " "))
+    plain = F.regexp_replace(c, _ASCII_SPACE, " ")
+    return F.trim(F.when(_is_ascii(c), plain).otherwise(F.regexp_replace(c, _SPACE, " ")))
 
 
 def flat(c: Column) -> Column:
@@ -97,22 +99,23 @@ def join_key(place: Column) -> Column:
 
 
 def split_place(label: Column) -> Column:
-    """``struct(place, city, subdivision, country)``; the country is the last part."""
+    """``struct(place, city, subdivision, country)``; the country is the last part.
+
+    Separators are first brought to one form with empty parts dropped, so that the
+    parts can be cut off by position without an array.
+    """
     clean = squash(F.coalesce(label, F.lit("")))
-    parts = F.filter(F.transform(F.split(clean, ","), lambda p: F.trim(p)), lambda p: p != "")
-
-    def named(both: Column) -> Column:
-        text, p = both["text"], both["parts"]
-        n = F.size(p)
-        return F.struct(
-            F.when(n == 0, text).otherwise(F.array_join(p, ", ")).alias("place"),
-            F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("city"),
-            F.array_join(F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))), ", ").alias("subdivision"),
-            F.when(n >= 2, F.try_element_at(p, F.lit(-1))).otherwise(F.lit("")).alias("country"),
-        )
-
-    # A one-element transform binds the parts once for all four fields.
-    return F.get(F.transform(F.array(F.struct(clean.alias("text"), parts.alias("parts"))), named), F.lit(0))
+    joined = F.regexp_replace(F.regexp_replace(clean, " ?,[ ,]*", ", "), "^[ ,]+|[ ,]+$", "")
+    city = F.substring_index(joined, ", ", 1)
+    country = F.when(F.contains(joined, F.lit(", ")), F.substring_index(joined, ", ", -1)).otherwise(F.lit(""))
+    # What remains between ``city, `` and ``, country``.
+    middle = F.char_length(joined) - F.char_length(city) - F.char_length(country) - 4
+    return F.struct(
+        F.when(joined == "", clean).otherwise(joined).alias("place"),
+        city.alias("city"),
+        F.when(middle > 0, F.substring(joined, F.char_length(city) + 3, middle)).otherwise(F.lit("")).alias("subdivision"),
+        country.alias("country"),
+    )
 
 
 def slug_guess(name: Column, slug: Column, country: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import abs_change, finite, pct_change, share
-from ..session import checkpointed, one_row, rows_with_counted_keys
+from ..session import written, one_row, rows_with_counted_keys
 from ..vocab import (
     DISTINCT_DELTA_FLOOR, DISTINCT_DELTA_MIN_SAMPLE, FROZEN_COLUMN_MIN_SAMPLE, MIN_OVERLAP,
     REBASE_DIRECTION_SHARE, REBASE_MIN_SAMPLE, SAMPLE_ROWS, STATUSES,
@@ -164,7 +164,7 @@ def summary(pairs: DataFrame) -> DataFrame:
     here_from, here_to = F.col("n_from") == 1, F.col("n_to") == 1
     joined = _keyed() & here_from & here_to
     change = abs_change(F.col("f.value"), F.col("t.value"))
-    base = checkpointed(pairs.select(
+    base = written(pairs.select(
         _keyed().alias("keyed"), "n_from", "n_to", joined.alias("joined"),
         F.when(joined, change["delta"]).alias("delta"),
         F.when(joined, pct_change(F.col("f.value"), F.col("t.value"))["pct"]).alias("pct"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed, small_side
+from ..session import written, small_side
 
 
 def number_rows(df: DataFrame, slices: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -21,7 +21,7 @@ def number_rows(df: DataFrame, slices: Sequence[str], order: Sequence[Column], o
     by_slice = [F.col(c) for c in slices]
     ordered = df.repartitionByRange(*by_slice, *order).sortWithinPartitions(*by_slice, *order)
     # The upper bits of this id are the range, the lower 33 the row inside it.
-    fixed = checkpointed(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    fixed = written(ordered.withColumn("_id", F.monotonically_increasing_id()))
     placed = fixed.withColumn("_range", F.shiftright("_id", 33))
     sizes = placed.groupBy(*slices, "_range").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")

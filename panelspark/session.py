@@ -36,12 +36,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of an executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, lineage cut.
+
+    It survives the loss of any executor, and later plans read only the columns
+    and row groups they need.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -70,7 +73,7 @@ def rows_with_counted_keys(rows: DataFrame, counted: DataFrame, on: list[str]) -
     the counted rows are matched by broadcast (at most HEAVY_SHARE can be) and only
     the others by shuffle, so no shuffle partition ever receives a hot key.
     """
-    keys = checkpointed(counted.select(*on, "n"))
+    keys = written(counted.select(*on, "n"))
     if keys.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS:
         return rows.join(F.broadcast(keys.select(*on)), on, "left_semi")
     total = one_row(keys.agg(F.sum("n").alias("_total")))

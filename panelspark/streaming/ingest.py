@@ -14,7 +14,7 @@ from ..functions import snapshots as snap
 from ..operators.corpus import grade
 from ..operators.fingerprints import distinct_tables, panel_fingerprints, repeated_anywhere
 from ..operators.panels import write_panel
-from ..session import checkpointed, one_row
+from ..session import written, one_row
 from ..sources.corpus_store import ENTRY, scan_corpus, stored_count, write_entries
 from ..sources.pages import ranking_rows, triage
 
@@ -100,7 +100,7 @@ def ingest_batch(
     spark = pages.sparkSession
     version = [*ENTRY, "item_no"]
     # Triage runs the page reader; fixing it here keeps that to one pass over the pages.
-    judged = checkpointed(outcomes(triage(pages)))
+    judged = written(outcomes(triage(pages)))
     good = judged.filter("outcome = 'ok'").select(*version, "page_status", "table")
     rows = ranking_rows(good, version).drop("columns")
     prints = panel_fingerprints(rows, version)
@@ -109,7 +109,7 @@ def ingest_batch(
     )
     merged = with_sticky_moved(latest_entries(versions), _stored(spark, corpus_path))
     # Entries are one row per page; fixing them keeps the overwrite from reading its own target.
-    entries = checkpointed(merged.select(
+    entries = written(merged.select(
         *version, F.lit(schema_tag).alias("schema_tag"), now.alias("fetched_at"), F.lit(True).alias("readable"),
         "moved", snap.is_archival(F.col("snapshot"), now, F.col("moved")).alias("keep"), "fingerprint", "n_rows",
     ))

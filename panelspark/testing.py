@@ -18,6 +18,8 @@ def local_session(cores: str | None = None, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("panelspark")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables still spread over the local cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
