@@ -43,10 +43,9 @@ def is_archival(c: Column, now: Column, moved: Column | None = None) -> Column:
     to change are never final.
     """
     year = F.when(is_snapshot_id(c), _year(c))
-    final_from = F.to_timestamp(F.make_date(year + 1, F.lit(1), F.lit(1))) + F.expr(
-        f"INTERVAL {PUBLICATION_CYCLE_DAYS} DAYS"
-    )
-    final = (year >= EARLIEST_SNAPSHOT_YEAR) & (now >= final_from)
+    # Counted in days since 1970 so that the rule is in UTC whatever the session's zone is.
+    final_day = F.unix_date(F.make_date(year + 1, F.lit(1), F.lit(1))) + PUBLICATION_CYCLE_DAYS
+    final = (year >= EARLIEST_SNAPSHOT_YEAR) & (F.unix_seconds(now) >= final_day.cast("bigint") * 86_400)
     if moved is not None:
         final = final & ~F.coalesce(moved, F.lit(False))
     return F.coalesce(final, F.lit(False))

@@ -10,7 +10,7 @@ from panelspark.operators import diffing, fingerprints, headers, panels, places
 from panelspark.plans import movers as movers_plan
 from panelspark.plans.rank import rank
 from panelspark.plans.trend import trend
-from panelspark.session import scratch_path
+from panelspark.session import one_row, scratch_path, small_side
 
 from . import views
 from .registry import query
@@ -218,14 +218,13 @@ def drift_cause(spark, sf):
     return fingerprints.drift_cause(prints, "1997", "2003")
 
 
-@query("panel_same", "WITH " + COPIED + """ SELECT a.snapshot AS snapshot, b.snapshot AS other, a.fp = b.fp AS same
-    FROM prints a JOIN prints b ON a.snapshot < b.snapshot""")
+@query("panel_same", "WITH " + COPIED + """ SELECT a.snapshot AS snapshot, a.fp = b.fp AS same_as_1997
+    FROM prints a, prints b WHERE b.snapshot = '1997'""")
 def panel_same(spark, sf):
-    prints = fingerprints.panel_fingerprints(views.copied_panel(spark, sf)).select("snapshot", "fingerprint")
-    other = prints.select(F.col("snapshot").alias("other"), F.col("fingerprint").alias("fp"))
-    return prints.join(other, F.col("snapshot") < F.col("other")).select(
-        "snapshot", "other", fingerprints.same_print(F.col("fingerprint"), F.col("fp")).alias("same")
-    )
+    prints = fingerprints.panel_fingerprints(views.copied_panel(spark, sf))
+    base = one_row(prints.agg(F.max(F.when(F.col("snapshot") == "1997", F.col("fingerprint"))).alias("base")))
+    same = fingerprints.same_print(F.col("fingerprint"), F.col("base"))
+    return prints.crossJoin(base).select("snapshot", same.alias("same_as_1997"))
 
 
 @query("repeated_tables", "WITH " + COPIED + """, c AS (SELECT fp, count(*) AS n FROM prints GROUP BY fp)
@@ -291,8 +290,6 @@ def rank_top(spark, sf):
 @query("rank_positions", RANKED_SQL + """ SELECT snapshot, place, rank,
     CAST(count(*) OVER (PARTITION BY snapshot) AS INTEGER) AS "of" FROM panel""")
 def rank_positions(spark, sf):
-    from panelspark.session import small_side
-
     panel = customer_panel(spark, sf, ranked=True)
     sized = panels.with_table_size(panel, small_side(panels.table_sizes(panel)))
     return sized.select("snapshot", "place", "rank", "of")
@@ -437,15 +434,13 @@ def header_columns(spark, sf):
     return _headers(spark, sf).select("snapshot", F.array_join("columns", ";").alias("columns"))
 
 
-@query("shared_columns", HEADERS + """ SELECT a.snapshot AS frm, b.snapshot AS "to",
-      string_agg(b.metric, ';' ORDER BY b."at") AS shared FROM m a JOIN m b ON a.metric = b.metric AND a.snapshot < b.snapshot
-      GROUP BY 1, 2""")
+@query("shared_columns", HEADERS + """ SELECT a.snapshot AS frm, string_agg(b.metric, ';' ORDER BY b."at") AS shared
+      FROM m a JOIN m b ON a.metric = b.metric AND b.snapshot = '2001' GROUP BY 1""")
 def shared_columns(spark, sf):
     h = _headers(spark, sf)
-    to = h.select(F.col("snapshot").alias("to"), F.col("columns").alias("to_columns"))
-    pairs = h.withColumnRenamed("snapshot", "frm").join(to, F.col("frm") < F.col("to"))
+    newest = one_row(h.agg(F.max(F.when(F.col("snapshot") == "2001", F.col("columns"))).alias("to_columns")))
     shared = headers.shared_columns(F.col("to_columns"), F.col("columns"))
-    return pairs.select("frm", "to", F.array_join(shared, ";").alias("shared"))
+    return h.crossJoin(newest).select(F.col("snapshot").alias("frm"), F.array_join(shared, ";").alias("shared"))
 
 
 @query("column_resolution", HEADERS + """ SELECT snapshot, min_by(metric, "at") FILTER (contains(lower(metric), 'hi')) AS sort_column,

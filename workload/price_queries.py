@@ -198,7 +198,7 @@ def entity_lookup(spark, sf):
     ORDER BY ts, event_id LIMIT 20""")
 def upcoming(spark, sf):
     found = discovery.upcoming(
-        event_meetups(spark, sf), F.lit("2024-01-10 00:00:00").cast("timestamp"), city="purchase", country="C2", days_ahead=3
+        event_meetups(spark, sf), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), city="purchase", country="C2", days_ahead=3
     )
     return found.select("event_id", "ts", "city", "country")
 

@@ -25,11 +25,11 @@ SCHEMAS = {
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-              "o_orderdate timestamp, o_orderpriority string",
+              "o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
-                "l_linestatus string, l_shipdate timestamp",
-    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
 }
@@ -50,7 +50,7 @@ def _years(years: Sequence[int] | None) -> Column | None:
     any_year = F.lit(False)
     for y in years:
         any_year = any_year | (
-            (date >= F.lit(f"{y}-01-01").cast("timestamp")) & (date < F.lit(f"{y + 1}-01-01").cast("timestamp"))
+            (date >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (date < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
         )
     return any_year
 
@@ -220,7 +220,7 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("vertical"), snapshot.alias("snapshot")
     ).agg(
-        F.count(F.lit(1)).cast("int").alias("n_events"), F.max("ts").alias("last_ts"), F.min("ts").alias("first_ts"),
+        F.count(F.lit(1)).cast("int").alias("n_events"), F.max("ts").cast("timestamp").alias("last_ts"), F.min("ts").cast("timestamp").alias("first_ts"),
         F.max("value").alias("top_value"), F.max("event_id").alias("last_id"),
         F.sum(F.length("props")).cast("bigint").alias("bytes"),
     )
