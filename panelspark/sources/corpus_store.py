@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import small_side
+
 CORPUS_SCHEMA = (
     "vertical string, snapshot string, schema_tag string, fetched_at timestamp, readable boolean, "
     "moved boolean, keep boolean, fingerprint string, n_rows int"
@@ -33,3 +35,13 @@ def stored_count(spark: SparkSession, path: str, written: DataFrame, schema_tag:
     """Read-back: how many of the written entries are found under the current schema."""
     found = scan_corpus(spark, path).filter(F.col("schema_tag") == schema_tag).filter("readable").select(*ENTRY)
     return written.select(*ENTRY).join(found, ENTRY, "left_semi").agg(F.count(F.lit(1)).alias("stored"))
+
+
+def backed_rows(panel: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Panel rows whose corpus entry still holds rows.
+
+    A page that came back empty replaces its entry but has no rows to replace the
+    stored slice with; reading through the entry leaves such a slice out.
+    """
+    alive = corpus.filter("readable AND n_rows > 0").select(*ENTRY)
+    return panel.join(small_side(alive), ENTRY, "left_semi")

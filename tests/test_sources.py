@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import panels
 from panelspark.sources import pages as src
 from panelspark.sources import results, sinks
-from panelspark.sources.corpus_store import scan_corpus
+from panelspark.sources.corpus_store import backed_rows, scan_corpus
 from panelspark.streaming import ingest
 
 HEAD = "<tr><th>Rank</th><th>City</th><th>Cost<br>Index</th><th>Rent Index</th></tr>"
@@ -178,6 +178,16 @@ def test_one_table_under_three_ids_raises_the_alarm_until_it_is_repaired(spark,
     assert (repaired.repeated_verticals, repaired.complete, repaired.exit) == (0, True, 0)
 
 
+def test_emptied_page_is_left_out_when_read_through_the_corpus(spark, tmp_path):
+    a = page(row("", "A, X", "1", "2"))
+    for html in (a, page("")):
+        ingest.ingest_batch(_pages(spark, [("crime", "2014", 1, html), ("crime", "2015", 2, a)]), **_paths(tmp_path))
+    corpus = scan_corpus(spark, str(tmp_path / "corpus"))
+    assert {r.snapshot: (r.n_rows, r.moved) for r in corpus.collect()} == {"2014": (0, True), "2015": (1, False)}
+    rows = backed_rows(panels.read_panel(spark, str(tmp_path / "panel")), corpus)
+    assert column(rows, "snapshot") == ["2015"]
+
+
 def test_versions_of_one_snapshot_in_one_batch(spark, tmp_path):
     a, b, blank = page(row("", "A, X", "1", "2")), page(row("", "B, X", "3", "4")), page("")
     report = one(ingest.ingest_batch(_pages(spark, [
