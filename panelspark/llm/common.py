@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text that is held as Python objects at a time, in bytes.
 SLICE_BYTES = 2 << 20
@@ -68,3 +68,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
              "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
              "array<int>": pa.list_(pa.int32())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
+
+#: Ids up to this number (8 MB) are sent to all executors; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone`` (one column, doc_id); rows without an id stay."""
+    gone = store(gone.filter("doc_id IS NOT NULL").distinct().withColumnRenamed("doc_id", "_gone"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

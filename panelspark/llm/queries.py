@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import huffman, language_id, packing, quality_rules, sharding, token_counts
+from panelspark.llm import (
+    fm_index, huffman, language_id, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts,
+    tool_calls,
+)
 from panelspark.llm.common import table
 
 SHARDS = 24
@@ -34,10 +37,23 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "failed_bits")
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.kept(near_duplicates.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return fm_index.contamination(fm_index.find_spans(docs, benchmark, window=13))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.over_limit(counted, TOKEN_LIMIT)
@@ -50,6 +66,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 #: ``[^ \t-\r]+`` as words; windows are compared as joined words.
 OP3_SQL = r"""
 WITH d AS (
@@ -87,6 +107,7 @@ FROM b
 """
 
 QUERIES = {query.__name__: query for query in (
-    op1_sharding, op2_huffman_ids, op3_rule_ledger, op6_packing, op8_token_counts, op9_language_id)}
+    op1_sharding, op2_huffman_ids, op3_rule_ledger, op4_tool_calls, op5_near_duplicates, op6_packing,
+    op7_decontamination, op8_token_counts, op9_language_id, op10_line_dedup)}
 
 ORACLES = {"op3_rule_ledger": OP3_SQL}
