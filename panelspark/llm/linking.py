@@ -78,7 +78,7 @@ def linked_groups(items: DataFrame, keys: DataFrame, near: Near, meets: Meets, v
     l, r = rows.filter("grp <> main").alias("l"), rows.alias("r")
     # Both sides of a pair outside the main group would bring it twice.
     once = F.expr("l.key = r.key AND l.grp <> r.grp AND (r.grp = r.main OR l.id < r.id)")
-    cross = l.join(r, once & near("l.item", "r.item") & meets("l.item", "r.item", F.col("l.slot"))).select(
+    cross = l.join(r, once & meets("l.item", "r.item", F.col("l.slot")) & near("l.item", "r.item")).select(
         F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     second = store(verify(store(cross, "pairs")), "links")
     links = first.unionByName(second)
