@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = store(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
                   .filter("a <> b").distinct(), "links")
-    nodes = edges.selectExpr("explode(array(a, b)) AS id").distinct()
+    nodes = edges.selectExpr("a AS id").union(edges.selectExpr("b")).distinct()
     moves: list[DataFrame] = []
     while not edges.isEmpty():
         rank = len(moves)
