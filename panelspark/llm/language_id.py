@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from panelspark.llm.common import arrow_schema, kept_by_worker, slices, store
 ENTRIES = 160_000
 
 #: Longest n-gram.
-ORDER = 4
+ORDER = 3
 
 #: Words whose evidence a worker keeps.
 CACHE_ENTRIES = 500_000
@@ -112,14 +113,33 @@ class Model:
             whole = np.array([sum(totals.get((lang, kind), (0, 0))) * 1.0 + 1.0 for lang in self.langs])
             self.logs.append(np.log(counts / whole).astype(np.float32))
 
-    def evidence(self, word: str) -> np.ndarray:
+    def rows_of(self, word: str) -> tuple[int, list[int]]:
+        """Where the evidence of a word lies: the kind, and its rows; none if nothing of it is known."""
         if (known := self.row[0].get(word)) is not None:
-            return self.logs[0][known]
+            return 0, [known]
         for k in range(self.order, 0, -1):
-            found = [row for gram in grams_of(word, k) if (row := self.row[k].get(gram)) is not None]
+            row = self.row[k]
+            if found := [row[gram] for gram in grams_of(word, k) if gram in row]:
+                return k, found
+        return 0, []
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its log frequencies, or the mean of those of its n-grams."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        places: list[list[int]] = [[] for _ in self.row]
+        rows: list[list[list[int]]] = [[] for _ in self.row]
+        for i, word in enumerate(words):
+            kind, found = self.rows_of(word)
             if found:
-                return self.logs[k][found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                places[kind].append(i)
+                rows[kind].append(found)
+        for kind, found in enumerate(rows):
+            if found:
+                sizes = np.array([len(one) for one in found])
+                every = self.logs[kind][np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
+                sums = np.add.reduceat(every, np.cumsum(sizes) - sizes, axis=0)
+                out[places[kind]] = sums / sizes[:, None]
+        return out
 
 
 class Scorer:
@@ -137,11 +157,12 @@ class Scorer:
             return UNKNOWN, 0.0
         if len(self.at) > CACHE_ENTRIES:
             self.at.clear()
-        for word in set(words).difference(self.at):
-            row = self.at[word] = len(self.at)
-            if row == len(self.table):
+        if new := list(set(words).difference(self.at)):
+            first = len(self.at)
+            while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[row] = self.model.evidence(word)
+            self.table[first:first + len(new)] = self.model.evidence(new)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
         total = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(total.argmax())

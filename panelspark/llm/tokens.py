@@ -8,8 +8,8 @@ lately go to the library; their ids come from a table after that.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from panelspark.llm.common import kept_by_worker
 
 #: Cuts whose ids a worker keeps.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 
 #: A longer text is cut before it is taken apart.
 LONG_TEXT = 1 << 20
@@ -29,9 +29,6 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: last space to the next word.
 BYTE_LEVEL_CUT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: A cut for vocabularies that drop white space.
-SPACED_CUT = re.compile(r"[^ \n\r\t]+")
-
 #: Where a long text may be cut for either kind.
 SINGLE_SPACE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
@@ -54,6 +51,23 @@ def segments(text: str) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def split_spaced(text: str) -> list[str]:
+    """Cuts for vocabularies that drop white space; an empty cut has no ids."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+class Known(dict):
+    """Ids by cut; a cut that is asked for in vain is noted in ``missing`` and stands for no ids meanwhile."""
+
+    def __init__(self) -> None:
+        self.missing: list[str] = []
+
+    def __missing__(self, cut: str) -> bytes:
+        self.missing.append(cut)
+        self[cut] = b""
+        return b""
+
+
 class Encoder:
     """Ids of texts as bytes, two or four a token (little-endian).
 
@@ -75,8 +89,8 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
         drops_space = '"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true' not in (
             vocabulary.replace(" ", "").replace("\n", ""))
-        self.cut = SPACED_CUT if drops_space else BYTE_LEVEL_CUT
-        self.known: dict[str, bytes] = {}
+        self.cuts = split_spaced if drops_space else BYTE_LEVEL_CUT.findall
+        self.known = Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -91,14 +105,14 @@ class Encoder:
             if self.special.search(text):
                 ids += self._library([text])
             else:
-                parts += [(ids, self.cut.findall(part)) for part in segments(text)]
-        missing = set(chain.from_iterable(cuts for _, cuts in parts)).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > CACHE_ENTRIES:
-                self.known.clear()
-                missing = set(chain.from_iterable(cuts for _, cuts in parts))
-            new = list(missing)
-            self.known.update(zip(new, self._library(new), strict=True))
+                parts += [(ids, self.cuts(part)) for part in segments(text)]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        for _, cuts in parts:
+            deque(map(self.known.__getitem__, cuts), maxlen=0)
+        if self.known.missing:
+            self.known.update(zip(self.known.missing, self._library(self.known.missing), strict=True))
+            self.known.missing.clear()
         for ids, cuts in parts:
             ids += map(self.known.__getitem__, cuts)
         return [b"".join(ids) for ids in out]
