@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import arrow_schema, slices, store, without_ids
@@ -178,6 +179,7 @@ class Shard:
     def __init__(self, phrases: Phrases):
         self.phrases = phrases
         self.doc_ids: list[int | None] = []
+        self.keys: list[int] = []
         self.n_words: list[int] = []
         self.runs: list[np.ndarray] = []
         self.run_doc: list[np.ndarray] = []
@@ -197,6 +199,7 @@ class Shard:
             self.run_doc.append(np.full(len(at), len(self.doc_ids)))
             self.held += len(at)
         self.doc_ids.append(doc_id)
+        self.keys.append(xxhash.xxh3_64_intdigest(text or "") - (1 << 63))
         self.n_words.append(len(words))
 
     def spans(self) -> Iterator[tuple[int | None, int, list[int], list[int], list[int]]]:
@@ -232,7 +235,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], reach[np.append(new[1:], len(reach)) - 1]
 
 
-SPANS = "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, items string, n_items long"
+SPANS = "doc_id long, text_key long, n_words long, span_starts array<long>, span_ends array<long>, items string, n_items long"
 
 
 def _search_block(docs: DataFrame, items: list[tuple[int | None, str | None]], window: int) -> DataFrame:
@@ -241,9 +244,9 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str | None]], w
 
     def rows(shard: Shard) -> pa.RecordBatch:
         out = []
-        for doc_id, n_words, starts, ends, phrases in shard.spans():
+        for (doc_id, n_words, starts, ends, phrases), key in zip(shard.spans(), shard.keys, strict=True):
             names = sorted({name for phrase in phrases for name in shared.value.items[phrase]})
-            out.append((doc_id, n_words, starts, ends, ",".join(names), len(names)))
+            out.append((doc_id, key, n_words, starts, ends, ",".join(names), len(names)))
         columns = zip(*out, strict=True)
         return pa.record_batch([pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)],
                                schema=schema)
@@ -264,7 +267,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str | None]], w
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, span_starts, span_ends, items, n_items): where test phrases lie, in words from 0.
+    """(doc_id, text_key, n_words, span_starts, span_ends, items, n_items): where test phrases lie, in words from 0.
 
     ``items`` has the ids, sorted as strings and joined by commas.
     """
@@ -288,21 +291,23 @@ def _merge_blocks(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
         every = every.unionByName(more)
     schema = arrow_schema(SPANS)
 
-    def merge(_, group: pa.Table) -> pa.Table:
+    def merge(group):
         rows = group.to_pylist()
         starts = np.array([x for row in rows for x in row["span_starts"]], np.int64)
         ends = np.array([x for row in rows for x in row["span_ends"]], np.int64)
         order = np.argsort(starts, kind="stable")
         begin, end = merged(starts[order], ends[order])
         names = sorted({name for row in rows for name in row["items"].split(",") if name})
-        return pa.Table.from_pylist([{"doc_id": rows[0]["doc_id"], "n_words": rows[0]["n_words"],
+        return pa.Table.from_pylist([{"doc_id": rows[0]["doc_id"], "text_key": rows[0]["text_key"], "n_words": rows[0]["n_words"],
                                       "span_starts": begin.tolist(), "span_ends": end.tolist(),
                                       "items": ",".join(names), "n_items": len(names)}], schema=schema)
 
-    hits = every.groupBy("doc_id").applyInArrow(merge, SPANS)
-    none = _search_block(docs, [], 1).alias("d").join(hits.select("doc_id").alias("h"),
-                                                      F.expr("d.doc_id <=> h.doc_id"), "left_anti")
-    return hits.unionByName(none)
+    hits = every.groupBy("doc_id", "text_key").applyInArrow(merge, SPANS)
+    rows = _search_block(docs, [], 1).alias("d")
+    same = F.expr("d.doc_id <=> h.doc_id AND d.text_key = h.text_key")
+    return rows.join(hits.alias("h"), same, "left").select(
+        "d.doc_id", "d.text_key", "d.n_words",
+        *[F.coalesce(f"h.{name}", f"d.{name}").alias(name) for name in ("span_starts", "span_ends", "items", "n_items")])
 
 
 def contamination(spans: DataFrame) -> DataFrame:
