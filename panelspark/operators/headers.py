@@ -19,10 +19,6 @@ class Refused(ValueError):
         self.reason = reason
 
 
-def _flat(text: object) -> str:
-    return " ".join(str(text or "").split()).lower()
-
-
 def sort_column(columns: Sequence[str], requested: str) -> str | None:
     """First header that contains the request, ignoring case; None when none does."""
     return next((c for c in columns if requested.lower() in c.lower()), None)
@@ -35,7 +31,7 @@ def sort_column_expr(columns: Column, requested: str) -> Column:
 
 def matches_expr(columns: Column, requested: str) -> Column:
     """Headers that match a request: equal ones, else ones that contain it."""
-    want = _flat(requested)
+    want = folded(requested)
     if not want:
         return F.array().cast("array<string>")
     equal = F.filter(columns, lambda c: flat(c) == want)
@@ -60,50 +56,55 @@ def header_index_expr(columns: Column, *names: str) -> Column:
     return (F.coalesce(*found) - 1).cast("int")
 
 
+def folded(text: str | None) -> str:
+    """Case and white space do not count in a request."""
+    return " ".join((text or "").lower().split())
+
+
+def answering(columns: Sequence[str], requested: str) -> list[str]:
+    """Headers that answer a request, by how well: all equal ones, or without any all that contain it."""
+    grades: dict[bool, list[str]] = {True: [], False: []}
+    for column in columns:
+        if folded(requested) in folded(column):
+            grades[folded(requested) == folded(column)].append(column)
+    return grades[True] or grades[False]
+
+
 def resolve_column(from_columns: Sequence[str], to_columns: Sequence[str], requested: str | None = None) -> str:
     """The one column two snapshots agree on, or a refusal that names both headers."""
     shared = [c for c in to_columns if c in set(from_columns)]
     headers = f"from: {list(from_columns)}; to: {list(to_columns)}; in both: {shared}"
-    if not _flat(requested):
-        if not shared:
-            raise Refused("no_shared_column", f"the two snapshots share no column. {headers}")
-        return shared[0]
-
-    def tiered(columns: Sequence[str]) -> list[str]:
-        want = _flat(requested)
-        return [c for c in columns if _flat(c) == want] or [c for c in columns if want in _flat(c)]
-
-    old, new = tiered(from_columns), tiered(to_columns)
-    if max(len(old), len(new)) > 1:
-        reason = "ambiguous_column"
-    elif not old and not new:
-        reason = "unknown_column"
-    elif not new:
-        reason = "column_only_in_from"
-    elif not old:
-        reason = "column_only_in_to"
-    elif old != new:
-        reason = "different_columns"
-    else:
+    if not folded(requested):
+        if shared:
+            return shared[0]
+        raise Refused("no_shared_column", f"the two snapshots share no column. {headers}")
+    old, new = answering(from_columns, requested), answering(to_columns, requested)
+    if old == new and len(old) == 1:
         return old[0]
+    several = max(len(old), len(new)) > 1
+    reason = "ambiguous_column" if several else {
+        (False, False): "unknown_column", (True, False): "column_only_in_from",
+        (False, True): "column_only_in_to", (True, True): "different_columns",
+    }[bool(old), bool(new)]
     raise Refused(reason, f"column '{requested}': {reason} (from {old}, to {new}). {headers}")
 
 
 def resolve_snapshots(published: Sequence[str], frm: str | None, to: str | None = CURRENT) -> dict:
     """Check both ids against the published ones before any table is read."""
-    frm = CURRENT if frm is None else str(frm).strip()
-    to = CURRENT if to is None else str(to).strip()
-    if not frm:
-        raise Refused("no_base", f"name the base snapshot, one of: {', '.join(published)}")
-    if not published:
-        raise Refused("no_snapshots", "no snapshot list; a comparison needs two published tables")
-    for side, value in (("from", frm), ("to", to)):
-        if value != CURRENT and value not in published:
-            raise Refused("unknown_snapshot", f"{side} '{value}' is not one of: {CURRENT}, {', '.join(published)}")
-    if frm == to:
-        raise Refused("same_slice", f"'{frm}' and '{to}' are one slice asked twice")
-    ordered = sorted(published, key=sort_key_of)
-    return {"from": frm, "to": to, "published": list(published), "oldest": ordered[0], "newest": ordered[-1]}
+    pair = {side: CURRENT if given is None else str(given).strip() for side, given in (("from", frm), ("to", to))}
+    known = [CURRENT, *published]
+    strangers = [f"{side} '{name}'" for side, name in pair.items() if name not in known]
+    refusals = (
+        ("no_base", not pair["from"], f"a comparison needs a base snapshot out of {known}"),
+        ("no_snapshots", not published, "nothing is published, so there are no two tables to compare"),
+        ("unknown_snapshot", bool(strangers), f"not published: {'; '.join(strangers)}. Published: {known}"),
+        ("same_slice", pair["from"] == pair["to"], f"both sides are '{pair['to']}'"),
+    )
+    for reason, applies, message in refusals:
+        if applies:
+            raise Refused(reason, message)
+    by_age = sorted(published, key=sort_key_of)
+    return {**pair, "published": list(published), "oldest": by_age[0], "newest": by_age[-1]}
 
 
 def scope(requested: Sequence[str] | None, known: Sequence[str]) -> list[str]:

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import budgets, items as item_ops
 from ..vocab import BASKET, DEFAULT_ITEM_KEYS, ITEM_KEYS
 
-#: A side-by-side table has one column per entity.
-MAX_SIDE_BY_SIDE = 200
-
 
 def display_keys(full: bool = False) -> list[str]:
     return list(ITEM_KEYS if full else DEFAULT_ITEM_KEYS)
@@ -38,8 +35,6 @@ def compare(
 
 def side_by_side(records: DataFrame, entities: Sequence[str], *, full: bool = False) -> DataFrame:
     """Metrics as rows, the named entities as columns."""
-    if len(entities) > MAX_SIDE_BY_SIDE:
-        raise ValueError(f"{len(entities)} entities do not fit side by side (at most {MAX_SIDE_BY_SIDE})")
     chosen = records.filter(F.col("entity").isin(*entities))
     long = budgets.long_figures(chosen, display_keys(full))
     return long.groupBy("metric").pivot("entity", list(entities)).agg(F.max("value"))

@@ -11,8 +11,6 @@ from ..operators.fingerprints import repeated_series
 from ..operators.places import find_place, match_tier
 from ..session import one_row
 
-DEFAULT_SNAPSHOTS = 12
-
 
 @dataclass(frozen=True)
 class Trend:
@@ -29,9 +27,9 @@ def trend(
     column: str | None = None,
     headers: DataFrame | None = None,
     unreadable: dict[str, str] | None = None,
-    limit: int = DEFAULT_SNAPSHOTS,
+    limit: int | None = None,
 ) -> Trend:
-    """Follow ``place`` over the first ``limit`` published snapshots, in page order.
+    """Follow ``place`` over all published snapshots, or the first ``limit``, in page order.
 
     The label is resolved once, in the first snapshot where exactly one row
     matches; from there on only that label counts.  Snapshots without it stay in
@@ -86,6 +84,7 @@ def trend(
     )
     summary = series.agg(
         F.count_if("found").alias("found_in"), F.count(F.lit(1)).alias("requested"),
+        F.lit(len(published)).alias("published"),
         repeated_series(series).alias("identical_across_snapshots"),
     ).crossJoin(anchor.select("anchor"))
     if column is not None:

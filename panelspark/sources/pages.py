@@ -29,11 +29,16 @@ cloudpickle.register_pickle_by_value(html_reader)
 def _page_batches(keep: list[str], want_text: bool, want_tables: bool):
     to_marks, to_words, to_tables = html_reader.page_marks, html_reader.visible_words, html_reader.page_tables
 
+    def fold(html):
+        # A page's marks are dropped before the next page is read.
+        marks = to_marks(html)
+        return to_words(marks) if want_text else None, to_tables(marks) if want_tables else None
+
     def read(batches):
         for batch in batches:
-            marks = batch["html"].map(to_marks)
-            batch["text"] = marks.map(to_words) if want_text else None
-            batch["tables"] = marks.map(to_tables) if want_tables else None
+            folded = [fold(html) for html in batch["html"]]
+            batch["text"] = pd.Series([text for text, _ in folded], index=batch.index, dtype=object)
+            batch["tables"] = pd.Series([tables for _, tables in folded], index=batch.index, dtype=object)
             yield batch[[*keep, "text", "tables"]]
 
     return read
@@ -125,7 +130,9 @@ def ranking_rows(triaged: DataFrame, carry: list[str]) -> DataFrame:
     place_at = F.coalesce(F.nullif(found, F.lit(0)), F.lit(1))
     metrics_at = F.filter(
         F.transform(header, lambda h, i: F.struct(i.alias("i"), h.alias("name"))),
-        lambda e: (e["i"] > F.col("place_at")) & (F.lower(e["name"]) != "rank"),
+        # Of equal labels the last column counts: a map holds a label once.
+        lambda e: (e["i"] > F.col("place_at")) & (F.lower(e["name"]) != "rank") & ~F.array_contains(
+            F.slice(header, e["i"] + 2, F.size(header)), e["name"]),
     )
     good = triaged.filter("page_status = 'ok'").withColumn("place_at", place_at)
     numbered = good.select(
@@ -164,15 +171,18 @@ def item_rows(triaged: DataFrame, entity: str = "entity") -> DataFrame:
 
 def error_records(triaged: DataFrame, entity: str = "entity") -> DataFrame:
     """Failed pages in the shape of a price record's error columns."""
+    unread = ~F.col("has_page")
+    kind = F.when(unread, "source_unavailable").otherwise(F.col("page_status"))
     remedy = (
-        F.when(F.col("page_status") == "unknown_entity", "check the spelling of the slug")
+        F.when(unread, "read the page again")
+        .when(F.col("page_status") == "unknown_entity", "check the spelling of the slug")
         .when(F.col("page_status") == "thin_data", "pick a larger nearby entity")
         .otherwise("the page layout changed; the reader needs an update")
     )
     bad = triaged.filter("page_status <> 'ok'")
     return bad.select(
-        F.col(entity).alias("entity"), F.col("page_status").alias("kind"),
-        F.concat(F.lit("page of '"), F.col(entity), F.lit("': "), F.col("page_status")).alias("error"),
+        F.col(entity).alias("entity"), kind.alias("kind"),
+        F.concat(F.lit("page of '"), F.col(entity), F.lit("': "), kind).alias("error"),
         remedy.alias("remedy"),
     )
 

@@ -12,8 +12,11 @@ from ..functions.numbers import control_ratio
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Declared columns only, in order; NULL is an empty field, and so is nothing else.
 
-    A column the table lacks is written empty rather than dropped.
+    A column the table lacks is written empty rather than dropped.  A table without rows
+    is refused: its file would be a header that looks like an answer.
     """
+    if df.isEmpty():
+        raise ValueError(f"nothing to write to {path}: the table has no rows")
     have = set(df.columns)
     chosen = [F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns]
     df.select(*chosen).write.option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)

@@ -2,7 +2,9 @@
 
 ``ingest_batch`` is the whole data half of a corpus run and works on any batch of
 pages; ``ingest_stream`` feeds it new files, and the stream's checkpoint makes a
-stopped run resume where it was.
+stopped run resume where it was.  No page is lost at a stop: pages that were not
+settled lie, with their text, in the outstanding table, and come first in the next
+batch unless a newer page of the same table has come in.
 """
 
 from __future__ import annotations
@@ -66,6 +68,13 @@ def failure_rows(judged: DataFrame) -> DataFrame:
     )
 
 
+def outstanding_pages(pages: DataFrame, judged: DataFrame) -> DataFrame:
+    """Pages of a batch that the next one has to take up again, with their text."""
+    page = [*ENTRY, "item_no"]
+    open_ = judged.filter(F.col("outcome").isin("failed", "unresolved", "not_attempted")).select(*page)
+    return pages.join(open_, page, "left_semi")
+
+
 def latest_entries(versions: DataFrame) -> DataFrame:
     """One entry per (vertical, snapshot) of a batch that may hold several versions of it.
 
@@ -94,9 +103,13 @@ def with_sticky_moved(entries: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def ingest_batch(
-    pages: DataFrame, *, panel_path: str, corpus_path: str, schema_tag: str, now: Column
+    pages: DataFrame, *, panel_path: str, corpus_path: str, schema_tag: str, now: Column,
+    outstanding_path: str | None = None, failures_path: str | None = None,
 ) -> DataFrame:
-    """Parse, digest, merge, write and read back one batch; returns its one-row report."""
+    """Parse, digest, merge, write and read back one batch; returns its one-row report.
+
+    Where paths are given, what was not settled and a row for each failed item are written there.
+    """
     spark = pages.sparkSession
     version = [*ENTRY, "item_no"]
     # Triage runs the page reader; fixing it here keeps that to one pass over the pages.
@@ -116,6 +129,10 @@ def ingest_batch(
     current = ranking_rows(good.join(entries.select(*version), version, "left_semi"), ENTRY)
     write_panel(current.withColumns({"view": F.lit("city"), "region": F.lit("")}), panel_path)
     write_entries(entries, corpus_path)
+    if outstanding_path is not None:
+        outstanding_pages(pages, judged).write.mode("overwrite").parquet(outstanding_path)
+    if failures_path is not None:
+        failure_rows(judged).write.mode("overwrite").parquet(failures_path)
     stored = one_row(stored_count(spark, corpus_path, good, schema_tag))
     on_disk = scan_corpus(spark, corpus_path).filter(F.col("readable") & (F.col("schema_tag") == schema_tag))
     alarm = repeated_anywhere(distinct_tables(entries, ["vertical"]), distinct_tables(on_disk, ["vertical"]))
@@ -123,6 +140,21 @@ def ingest_batch(
     return grade(with_completeness(run_report(judged).crossJoin(stored).crossJoin(repeated)))
 
 
+class IngestStopped(RuntimeError):
+    """The run has met a layout change; what it did not settle is outstanding."""
+
+
+def _latest_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The newest version below ``path`` that an earlier batch has written; None without one."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    older = [n for n in (int(name.partition("=")[2]) for name in names if name.startswith("batch=")) if n < batch_id]
+    return spark.read.schema(PAGE_SCHEMA).parquet(f"{path}/batch={max(older)}") if older else None
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
@@ -141,16 +173,37 @@ def ingest_stream(
     schema_tag: str,
     now: Column,
     max_files: int = 64,
+    outstanding_path: str | None = None,
+    failures_path: str | None = None,
 ) -> StreamingQuery:
-    """New page files in ``source`` (parquet) flow into the panel and the corpus."""
+    """New page files in ``source`` (parquet) flow into the panel and the corpus.
+
+    Outstanding pages and failures have one version a batch, by default beside the
+    reports.  A batch that met a layout change is the last one of its run: the next
+    would stop at the same page, so the query fails with ``IngestStopped`` before it.
+    """
+    outstanding = outstanding_path or f"{report_path.rstrip('/')}-outstanding"
+    failures = failures_path or f"{report_path.rstrip('/')}-failures"
+    stopped: list[str] = []
     pages = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if stopped:
+            raise IngestStopped(stopped[0])
+        earlier = _latest_before(spark, outstanding, batch_id)
+        if earlier is not None:
+            # A page that has come in anew takes the place of the one that waits.
+            batch = earlier.join(batch.select(*ENTRY).distinct(), ENTRY, "left_anti").unionByName(batch)
         report = ingest_batch(
-            batch, panel_path=panel_path, corpus_path=corpus_path, schema_tag=schema_tag, now=now
+            batch, panel_path=panel_path, corpus_path=corpus_path, schema_tag=schema_tag, now=now,
+            outstanding_path=f"{outstanding}/batch={batch_id}", failures_path=f"{failures}/batch={batch_id}",
         )
         # One folder per batch id: a batch that is run again replaces its own report.
-        report.drop("aborted_at").write.mode("overwrite").parquet(f"{report_path}/batch={batch_id}")
+        written_to = f"{report_path}/batch={batch_id}"
+        report.withColumn("aborted_at", F.to_json("aborted_at")).write.mode("overwrite").parquet(written_to)
+        done = spark.read.parquet(written_to).first()
+        if done["aborted"]:
+            stopped.append(f"batch {batch_id} met a page of another layout: {done['aborted_at']}")
 
     return (
         pages.writeStream.foreachBatch(handle)

@@ -214,6 +214,49 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert len([d for d in os.listdir(tmp_path / "reports") if d.startswith("batch=")]) == 3
 
 
+def test_stream_loses_no_page_at_a_stop(spark, tmp_path):
+    source, good = str(tmp_path / "in"), page(row("", "A, X", "1", "2"))
+    options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp")}
+    stored = lambda: sorted(column(scan_corpus(spark, str(tmp_path / "corpus")), "snapshot"))
+
+    def run(*rows):
+        _pages(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest_stream(spark, source, **options).awaitTermination()
+
+    broken = ("crime", "2020", 2, "<p>new look</p>")
+    run(("crime", "2019", 1, good), broken, ("crime", "2021", 3, good), ("crime", "2022", 4, None))
+    assert stored() == ["2019"]
+    failures = spark.read.parquet(str(tmp_path / "reports-failures" / "batch=0"))
+    assert {(r.snapshot, r.outcome) for r in failures.collect()} == {("2020", "unresolved")}
+    run(("crime", "2023", 5, good))
+    assert stored() == ["2019"]
+    run(("crime", "2020", 6, good), ("crime", "2022", 7, good))
+    assert stored() == ["2019", "2020", "2021", "2022", "2023"]
+    assert spark.read.schema(ingest.PAGE_SCHEMA).parquet(str(tmp_path / "reports-outstanding" / "batch=2")).count() == 0
+
+
+def test_run_ends_before_the_batch_behind_a_stop(spark, tmp_path):
+    source, good = str(tmp_path / "in"), page(row("", "A, X", "1", "2"))
+    for n, html in enumerate(["<p>new look</p>", good]):
+        _pages(spark, [("crime", str(2019 + n), n, html)]).coalesce(1).write.mode("append").parquet(source)
+    options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp"), "max_files": 1}
+    with pytest.raises(Exception, match="IngestStopped"):
+        ingest.ingest_stream(spark, source, **options).awaitTermination()
+    assert os.listdir(tmp_path / "reports") == ["batch=0"]
+
+
+def test_equal_header_labels_keep_the_last_column(spark):
+    html = page(row("", "A, X", "1", "2")).replace("Rent Index", "Cost Index")
+    rows = src.ranking_rows(src.triage(spark.createDataFrame([(1, html)], "page_id int, html string")), ["page_id"])
+    assert one(rows).metrics == {"Cost Index": 2.0} and one(rows)["columns"] == ["Cost Index"]
+
+
+def test_a_failed_read_is_no_layout_change(spark):
+    pages = spark.createDataFrame([("a", None), ("b", "<p>new</p>")], "entity string, html string")
+    found = {r.entity: r.kind for r in src.error_records(src.triage(pages, kind="price")).collect()}
+    assert found == {"a": "source_unavailable", "b": "layout_changed"}
+
+
 def test_panel_store_replaces_one_slice(spark, tmp_path):
     from helpers import panel
 

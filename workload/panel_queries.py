@@ -263,9 +263,9 @@ def _rank(spark, sf, **options):
 
 @query("rank_sorted", RANKED_SQL + """ SELECT rank, place, city, country, revenue AS "Order Revenue",
     orders_n AS "Order Count", top_order AS "Max Order" FROM panel WHERE snapshot = '1998'
-    ORDER BY orders_n, rank LIMIT 50""")
+    """)
 def rank_sorted(spark, sf):
-    return _rank(spark, sf, sort="count", top=50).flat()
+    return _rank(spark, sf, sort="count", top=None).flat()
 
 
 @query("rank_match", RANKED_SQL + """ SELECT rank, place, city, country, revenue AS "Order Revenue",
@@ -356,7 +356,7 @@ def trend_series(spark, sf):
 
 
 @query("trend_summary", TREND + """ SELECT count(*) FILTER (found) AS found_in, count(*) AS requested,
-    false AS identical_across_snapshots, max(place) AS anchor, 'Order Count' AS "column" FROM series""")
+    CAST(count(*) AS INTEGER) AS published, false AS identical_across_snapshots, max(place) AS anchor, 'Order Count' AS "column" FROM series""")
 def trend_summary(spark, sf):
     return _trend(spark, sf, column="Order Count").summary
 
@@ -500,10 +500,9 @@ def slice_identity(spark, sf):
     return base.select(name.alias("slice")).distinct()
 
 
-@query("movers_from_store", MOVERS + f" SELECT {ROWS} FROM rows_of WHERE status <> 'delisted'")
+@query("movers_from_store", MOVERS + f" SELECT {ROWS} FROM rows_of")
 def movers_from_store(spark, sf):
     path = scratch_path(spark, "long")
     panels.write_long_panel(customer_panel(spark, sf, YEARS, ranked=True), path)
     stored = panels.read_metrics(spark, path, ["Order Revenue"])
-    rows = diffing.diff_rows(slice_of(stored, "1996"), slice_of(stored, "2000"), "Order Revenue")
-    return rows.filter("status <> 'delisted'")
+    return diffing.diff_rows(slice_of(stored, "1996"), slice_of(stored, "2000"), "Order Revenue")

@@ -75,9 +75,9 @@ def savings_and_rent_share(spark, sf):
     return _records(spark, sf).select("entity", "savings", "rent_to_income_pct")
 
 
-@query("budget_order", SQL + " SELECT entity, budget FROM budgets ORDER BY budget ASC NULLS LAST, entity LIMIT 15")
+@query("budget_order", SQL + " SELECT entity, budget FROM budgets")
 def budget_order(spark, sf):
-    return _records(spark, sf).select("entity", "budget").orderBy(*budgets.budget_order()).limit(15)
+    return _records(spark, sf).select("entity", "budget").orderBy(*budgets.budget_order())
 
 
 SHOWN = ", ".join(f"'{k}'" for k in DEFAULT_ITEM_KEYS)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.operators.panels import as_panel, with_ranks
-from panelspark.vocab import ITEM_KEYS
+from panelspark.vocab import ITEM_KEYS, ITEM_SPELLINGS
 
 METRICS = ["Order Revenue", "Order Count", "Max Order"]
 MONEY = "decimal(18,2)"
@@ -130,33 +130,16 @@ def part_panels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 # ---------------------------------------------------------------- price items
 
-# One label per item key, as a metric and as an imperial page shows it.
-METRIC_LABELS = {
-    "cheap_meal": "Meal at an Inexpensive Restaurant", "meal_for_two": "Meal for Two at a Mid-Range Restaurant",
-    "cappuccino": "Cappuccino (Regular Size)", "transport_pass": "Monthly Public Transport Pass (Regular Price)",
-    "taxi_km": "Taxi 1 km (Standard Tariff)", "gasoline_l": "Gasoline (1 Liter)",
-    "utilities": "Basic Utilities for 85 m2 Apartment", "internet": "Broadband Internet (Unlimited Data)",
-    "mobile": "Mobile Phone Plan (Monthly)", "gym": "Monthly Fitness Club Membership", "cinema": "Cinema Ticket",
-    "preschool": "Private Full-Day Preschool or Kindergarten, Monthly",
-    "intl_school": "International Primary School, Annual Tuition",
-    "rent_1br_center": "1 Bedroom Apartment in City Centre",
-    "rent_1br_outside": "1 Bedroom Apartment Outside of City Centre",
-    "rent_3br_center": "3 Bedroom Apartment in City Centre",
-    "rent_3br_outside": "3 Bedroom Apartment Outside of City Centre",
-    "buy_sqm_center": "Price per Square Meter to Buy Apartment in City Centre",
-    "buy_sqm_outside": "Price per Square Meter to Buy Apartment Outside of Centre",
-    "net_salary": "Average Monthly Net Salary (After Tax)",
-    "mortgage_rate_pct": "Annual Mortgage Interest Rate (20-Year Fixed)",
-}
-IMPERIAL_LABELS = {
-    **METRIC_LABELS,
-    "taxi_km": "Taxi 1 mile (Standard Tariff)", "gasoline_l": "Gasoline (1 Gallon)",
-    "utilities": "Basic Utilities for 915 Square Feet Apartment", "gym": "Fitness Club, Monthly Fee",
-    "rent_3br_center": "3 Bedrooms Apartment in City Centre",
-    "rent_3br_outside": "3 Bedrooms Apartment Outside of City Centre",
-    "buy_sqm_center": "Price per Square Feet to Buy Apartment in City Centre",
-    "buy_sqm_outside": "Price per Square Feet to Buy Apartment Outside of Centre",
-}
+def _labels(pick: int) -> dict[str, str]:
+    """A label of our own for each item key, around its first (0) or last (-1) known spelling."""
+    spelled: dict[str, list[str]] = {}
+    for spelling, key in ITEM_SPELLINGS:
+        spelled.setdefault(key, []).append(spelling)
+    return {key: f"{spelled[key][pick]}, as listed" for key in ITEM_KEYS}
+
+
+#: Where two spellings differ by unit, the imperial one comes first.
+METRIC_LABELS, IMPERIAL_LABELS = _labels(-1), _labels(0)
 
 
 def price_items(spark: SparkSession, sf_dir: str) -> DataFrame:
