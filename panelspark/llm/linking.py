@@ -12,13 +12,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.llm.common import store
+from panelspark.llm.common import BROADCAST_IDS, store
 
 #: near(l, r): whether two rows of items are worth a comparison; meets(l, r, slot): whether slot is the first they share.
 Near = Callable[[str, str], Column]
 Meets = Callable[[str, str, Column], Column]
 Verify = Callable[[DataFrame], DataFrame]
 
+#: A key with so many items or fewer has its pairs looked at one by one; a larger one goes by its leader.
+FEW = 16
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b); ``component`` is the least id that can be reached.
@@ -85,3 +88,40 @@ def linked_groups(items: DataFrame, keys: DataFrame, near: Near, meets: Meets, v
     if second.isEmpty():
         return groups, links
     return components(links), links
+
+
+def linked_by_carried(keys: DataFrame, near: Near, meets: Meets, verify: Verify) -> DataFrame:
+    """(id, component) as from ``linked_groups``, for items so small that each key carries its own.
+
+    ``keys`` is (key, id, item); ``near`` and ``meets`` read items, and ``meets`` gets the key.
+    A key of at most FEW items cannot bring many pairs, so all of its pairs are looked at in one
+    join; only the items of larger keys are compared with a leader first and by groups then.
+    """
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = store(keys.join(counts, "key"), "shared-keys")
+    small = shared.filter(F.col("n") <= FEW).select("key", "id", "item")
+    l, r = small.alias("l"), small.alias("r")
+    pairs = l.join(r, F.expr("l.key = r.key AND l.id < r.id") & near("l.item", "r.item")
+                   & meets("l.item", "r.item", F.col("l.key"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+    large = shared.filter(F.col("n") > FEW).select("key", "id", "item")
+    heads = large.groupBy("key").agg(F.min("id").alias("leader"), F.min_by("item", "id").alias("head"))
+    stars = large.join(heads, "key").filter(F.col("id") != F.col("leader")).filter(near("item", "head")).select(
+        F.col("leader").alias("a"), F.col("id").alias("b"))
+    first = store(verify(store(pairs.union(stars).distinct(), "pairs")), "links")
+    groups = components(first)
+
+    few = groups.count() <= BROADCAST_IDS
+    placed = store(large.join(F.broadcast(groups) if few else groups, "id", "left").select(
+        "key", "id", "item", F.coalesce("component", "id").alias("grp")), "large-keys")
+    parts = placed.groupBy("key", "grp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "grp")).alias("main"), F.count("*").alias("n_grps"))
+    mixed = mixed.filter("n_grps > 1").select("key", F.col("main.grp").alias("main"))
+    rows = placed.join(mixed, "key")
+    l, r = rows.filter("grp <> main").alias("l"), placed.alias("r")
+    # Both sides of a pair outside the main group would bring it twice.
+    once = F.expr("l.key = r.key AND l.grp <> r.grp AND (r.grp = l.main OR l.id < r.id)")
+    cross = l.join(r, once & near("l.item", "r.item") & meets("l.item", "r.item", F.col("l.key"))).select(
+        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    second = store(verify(store(cross, "pairs")), "links")
+    return groups if second.isEmpty() else components(first.unionByName(second))
