@@ -199,6 +199,29 @@ def test_components(spark):
     assert got == {x: find(parent, x) for a, b in links if a != b for x in (a, b)}
 
 
+def test_groups_of_large_and_small_keys(spark):
+    """Every near pair that the check accepts is linked, in keys of more and of fewer items than FEW."""
+    draw, rows = random.Random(5), []
+    for size in (3, linking.FEW, 2 * linking.FEW, 5 * linking.FEW):
+        base = draw.getrandbits(64)
+        rows += [base ^ sum(1 << bit for bit in draw.sample(range(64), draw.randint(0, 3))) for _ in range(size)]
+    signed = [value - (1 << 64) if value >> 63 else value for value in rows]
+    items = spark.createDataFrame([(i, s, 100 if i % 5 else 105) for i, s in enumerate(signed)],
+                                  "id long, simhash long, length int")
+    got = {r["id"]: r["component"] for r in linking.linked_by_carried(
+        line_dedup.block_keys(items), line_dedup.near, line_dedup.meets, lambda pairs: pairs.filter("(a * b) % 7 = 3")).collect()}
+    parent: dict = {}
+    for b in range(len(rows)):
+        for a in range(b):
+            if (rows[a] ^ rows[b]).bit_count() <= line_dedup.DISTANCE and a * b % 7 == 3:
+                join(parent, b, a)
+    groups = collections.defaultdict(set)
+    for i in list(parent):
+        groups[find(parent, i)].add(i)
+    assert got == {i: min(group) for group in groups.values() if len(group) > 1 for i in group}
+    assert len(got) > linking.FEW
+
+
 def test_near_duplicates(spark, odd, empty):
     draw = random.Random(5)
     words = [f"t{i}" for i in range(200)]
