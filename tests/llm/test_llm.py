@@ -395,6 +395,19 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.removals(empty).count() == 0
 
 
+def test_line_dedup_folds_unicode_and_takes_15_percent(spark):
+    text = "\u201cIt\u2019s here\u201d \u2014 at\u00a0last, \u0663 times\u2026 \u00c9t\u00e9 \u00b2"
+    plain = [re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).encode().split() for line in (text, "a_b \u0660")]
+    assert line_dedup.normal_lines(text + "\na_b \u0660") == plain
+    short = ["we\u2019re all here \u2013 now", "We're all here - now"]
+    body = " ".join(f"tok{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)) + " " + "w" * 60
+    far = body.replace("w" * 60, "z" * 60)  # one long word of 81, so that few bits of the SimHash differ
+    assert 10 < 100 * plain_distance(body, far) / len(body) <= 15
+    rows = list(enumerate([*short, body, far]))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0], 2: [], 3: [0]}
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline
 
