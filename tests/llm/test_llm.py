@@ -408,6 +408,29 @@ def test_line_dedup_folds_unicode_and_takes_15_percent(spark):
     assert got == {0: [], 1: [0], 2: [], 3: [0]}
 
 
+def test_line_dedup_recall_without_a_gate(spark):
+    """Lines with scattered typos and their originals, beside plain edit similarity of all pairs."""
+    draw, lines = random.Random(11), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(240):
+        words = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 8))) for _ in range((8, 14, 25, 50)[i % 4])]
+        line = list(" ".join(words))
+        lines.append("".join(line))
+        for _ in range(1 + (i % 3) * len(line) // 100):
+            at = draw.choice([k for k, char in enumerate(line) if char != " "])
+            line[at:at + 1] = draw.choice(("", draw.choice(letters), line[at] + draw.choice(letters)))
+        lines.append("".join(line))
+    near = {(a, b) for b in range(len(lines)) for a in range(b)
+            if abs(len(lines[a]) - len(lines[b])) <= 0.15 * len(lines[b]) and (a // 2 == b // 2 or len(lines[b]) < 40)
+            and len(lines[b].split()) >= line_dedup.FUZZY_WORDS
+            and 100 * plain_distance(lines[a], lines[b]) <= 15 * max(len(lines[a]), len(lines[b]))}
+    got = {r["doc_id"] for r in line_dedup.removals(spark.createDataFrame(
+        list(enumerate(lines)), "doc_id long, text string")).collect() if r["n_removed"]}
+    want = {b for _, b in near}
+    assert len(want) > 200 and got <= want
+    assert len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline
 
