@@ -4,13 +4,13 @@ A word that the model knows counts with its log frequency in each language.  For
 other word the n-grams of the longest order of which the model knows one count, with the
 mean of their log frequencies; a word without a known letter counts for nothing.
 
-All labelled texts are counted.  Each language keeps its most frequent words and n-grams,
-ENTRIES in all, which bounds the model that every worker gets.
+All labelled texts are counted and every count is kept, so the model grows with the different
+words and n-grams of the input: some 14 bytes for each feature and language that has it, as
+features are known by a 64-bit hash.  The driver and every worker hold it whole.
 
 Nulls, empties and odd input: a null text or one without letters is ``und`` with score 0;
-texts without a label teach nothing; repeated rows count each time; equal counts at a
-language's last place are left out together; without a labelled text every document is
-``und``; an empty table gives an empty table; of the input's columns only doc_id, text
+texts without a label teach nothing; repeated rows count each time; without a labelled
+text every document is ``und``; an empty table gives an empty table; of the input's columns only doc_id, text
 and (to learn) lang are read.
 """
 
@@ -27,9 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.llm.common import arrow_schema, kept_by_worker, slices, store
 
-#: Entries of a model, over all languages.
-ENTRIES = 160_000
-
 #: Longest n-gram.
 ORDER = 3
 
@@ -94,51 +91,72 @@ def count_features(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return labelled.mapInArrow(count, out).groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
+def hashes_of(features: list[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(feature.encode(), 42) for feature in features), np.uint64,
+                       len(features)).view(np.int64)
+
+
 class Model:
-    """Log frequencies by language of the words and n-grams that were kept."""
+    """Log frequencies by language of all words and n-grams that were counted."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], tuple[int, int]], order: int):
+    def __init__(self, counts: pa.Table, totals: dict[tuple[str, int], tuple[int, int]], order: int):
         self.order = order
         self.langs = sorted({lang for lang, _ in totals})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.row: list[dict[str, int]] = [{} for _ in range(order + 1)]
-        for _, kind, feature, _ in rows:
-            self.row[kind].setdefault(feature, len(self.row[kind]))
-        self.logs = []
-        for kind, known in enumerate(self.row):
-            counts = np.full((len(known), len(self.langs)), PRIOR)
-            for lang, of_kind, feature, n in rows:
-                if of_kind == kind:
-                    counts[known[feature], at[lang]] += n
-            whole = np.array([sum(totals.get((lang, kind), (0, 0))) * 1.0 + 1.0 for lang in self.langs])
-            self.logs.append(np.log(counts / whole).astype(np.float32))
-
-    def rows_of(self, word: str) -> tuple[int, list[int]]:
-        """Where the evidence of a word lies: the kind, and its rows; none if nothing of it is known."""
-        if (known := self.row[0].get(word)) is not None:
-            return 0, [known]
-        for k in range(self.order, 0, -1):
-            row = self.row[k]
-            if found := [row[gram] for gram in grams_of(word, k) if gram in row]:
-                return k, found
-        return 0, []
+        kinds, features, n = (counts.column(name).to_numpy() for name in ("kind", "feature", "n"))
+        names = counts.column("lang").combine_chunks().dictionary_encode()
+        place = np.array([at[name] for name in names.dictionary.to_pylist()], np.int32)
+        langs = place[names.indices.to_numpy()] if len(place) else np.zeros(0, np.int32)
+        self.keys, self.starts, self.lang, self.logs, self.absent = [], [], [], [], []
+        for kind in range(order + 1):
+            of_kind = np.flatnonzero(kinds == kind)
+            of_kind = of_kind[np.argsort(features[of_kind], kind="stable")]
+            keys, starts = np.unique(features[of_kind], return_index=True)
+            whole = np.log(np.array([sum(totals.get((lang, kind), (0, 0))) + 1.0 for lang in self.langs]))
+            self.keys.append(keys)
+            self.starts.append(np.append(starts, len(of_kind)))
+            self.lang.append(langs[of_kind].astype(np.uint16 if len(self.langs) < 1 << 16 else np.int32))
+            self.logs.append((np.log(n[of_kind] + PRIOR) - whole[langs[of_kind]]).astype(np.float32))
+            self.absent.append((np.log(PRIOR) - whole).astype(np.float32))
+
+    def places(self, kind: int, features: list[str]) -> np.ndarray:
+        """Where each feature lies; -1 if it was never counted."""
+        keys, wanted = self.keys[kind], hashes_of(features)
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, -1)
+
+    def rows(self, kind: int, places: np.ndarray) -> np.ndarray:
+        """The log frequencies of features by their places, for every language."""
+        out = np.tile(self.absent[kind], (len(places), 1))
+        first = self.starts[kind][places]
+        sizes = self.starts[kind][places + 1] - first
+        entries = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        out[np.repeat(np.arange(len(places)), sizes), self.lang[kind][entries]] = self.logs[kind][entries]
+        return out
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """A row for each word: its log frequencies, or the mean of those of its n-grams."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        places: list[list[int]] = [[] for _ in self.row]
-        rows: list[list[list[int]]] = [[] for _ in self.row]
-        for i, word in enumerate(words):
-            kind, found = self.rows_of(word)
-            if found:
-                places[kind].append(i)
-                rows[kind].append(found)
-        for kind, found in enumerate(rows):
-            if found:
-                sizes = np.array([len(one) for one in found])
-                every = self.logs[kind][np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))]
-                sums = np.add.reduceat(every, np.cumsum(sizes) - sizes, axis=0)
-                out[places[kind]] = sums / sizes[:, None]
+        found = self.places(0, words)
+        known = np.flatnonzero(found >= 0)
+        out[known] = self.rows(0, found[known])
+        left = np.flatnonzero(found < 0)
+        for k in range(self.order, 0, -1):
+            if not len(left):
+                break
+            grams = [grams_of(words[i], k) for i in left.tolist()]
+            found = self.places(k, list(chain.from_iterable(grams)))
+            owner = np.repeat(np.arange(len(left)), [len(one) for one in grams])[found >= 0]
+            sums = np.zeros((len(left), len(self.langs)), np.float32)
+            np.add.at(sums, owner, self.rows(k, found[found >= 0]))
+            n = np.bincount(owner, minlength=len(left))
+            out[left[n > 0]] = sums[n > 0] / n[n > 0, None]
+            left = left[n == 0]
         return out
 
 
@@ -169,21 +187,13 @@ class Scorer:
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def fit(docs: DataFrame, entries: int = ENTRIES, order: int = ORDER) -> Model:
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
     """Learn from all rows of ``docs`` with a text and a lang."""
-    counts = store(count_features(docs, order), "language-counts")
+    counts = store(count_features(docs, order).select("lang", "kind", F.xxhash64("feature").alias("feature"), "n"),
+                   "language-counts")
     totals = {(row["lang"], row["kind"]): (row["tokens"], row["types"]) for row in counts.groupBy("lang", "kind").agg(
         F.sum("n").alias("tokens"), F.count("*").alias("types")).collect()}
-    each = max(1, entries // max(1, len(totals)))
-    # The smallest count that leaves at most ``each`` features, from the table of counts of counts.
-    of_count = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("features"))
-    reached = of_count.selectExpr("lang", "kind", "n",
-                                  "sum(features) OVER (PARTITION BY lang, kind ORDER BY n DESC) AS reached")
-    least = reached.filter(F.col("reached") <= each).groupBy("lang", "kind").agg(F.min("n").alias("least"))
-    # One row for each language and kind.
-    kept = counts.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least")
-    rows = kept.select("lang", "kind", "feature", "n").orderBy("lang", "kind", "feature").collect()
-    return Model([tuple(row) for row in rows], totals, order)
+    return Model(counts.toArrow(), totals, order)
 
 
 def predict_with(docs: DataFrame, model: Model):

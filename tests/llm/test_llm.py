@@ -349,6 +349,20 @@ def test_language(spark, odd, empty):
     assert kept.columns == odd.columns and {4, 5, 6}.isdisjoint(i for i, _ in texts_of(kept))
 
 
+def test_language_keeps_every_count(spark):
+    """More different words than any cap had left; counts of both languages, hapaxes included."""
+    rare = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}q" for i in range(60_000)]
+    rows = [(1, " ".join(rare), "en"), (2, "same " * 3 + " ".join(w[::-1] for w in rare[:200]), "fr"), (3, "same " * 7 + "zweié", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    counts = {lang: collections.Counter(language_id.words_of(" ".join(t for _, t, la in rows if la == lang))) for lang in ("en", "fr")}
+    words = [*rare, *(w[::-1] for w in rare[:200]), "same", "zweié"]
+    whole = {lang: sum(found.values()) + len(found) + 1 for lang, found in counts.items()}
+    want = [[np.log((counts[lang][word] + 0.5) / whole[lang]) for lang in ("en", "fr")] for word in words]
+    assert np.allclose(model.evidence(words), want, atol=1e-4)
+    assert (model.places(0, ["never"]) == -1).all() and model.evidence(["\u4e2d"]).tolist() == [[0, 0]]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
