@@ -7,7 +7,7 @@ share a table key are candidates, those whose minhashes, these and FINER more, a
 LEAST_MATCHES places are compared on their full sets, and linked classes form components.
 
 At a similarity of exactly 0.75 a pair shares a key with probability 0.992, at 0.8 0.998, at
-0.85 0.9999; of pairs at 0.75 the test on minhashes turns away 3 in 10,000.
+0.85 0.9999; of pairs at 0.75 the test on minhashes turns away 3 in a billion.
 
 Nulls, empties and odd input: a null text or one without words has an empty set and is
 linked with nothing; fewer words than a shingle make one shingle; repeated rows are one
@@ -39,7 +39,7 @@ HASHES = 2 * SUBKEYS * ROWS
 FINER = 196
 
 #: Of HASHES + FINER; pairs that agree less often are not compared.
-LEAST_MATCHES = 168
+LEAST_MATCHES = 150
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES + FINER, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 512

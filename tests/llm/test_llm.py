@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -249,6 +250,18 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_lose_no_candidate_by_estimate(spark):
+    """A pair at the threshold is turned away with less than 1e-8, and one far below its expected agreement is compared."""
+    n, least = near_duplicates.HASHES + near_duplicates.FINER, near_duplicates.LEAST_MATCHES
+    assert sum(math.comb(n, k) * 0.75 ** k * 0.25 ** (n - k) for k in range(least)) < 1e-8
+    signature, finer = list(range(near_duplicates.HASHES)), list(range(near_duplicates.FINER))
+    other = [x if x < 115 else -x for x in finer]
+    row = spark.createDataFrame([((signature, finer, 100), (signature[:40] + [-1] * 20, other, 100))],
+                                "l struct<signature: array<int>, finer: array<short>, n: long>, "
+                                "r struct<signature: array<int>, finer: array<short>, n: long>")
+    assert row.filter(near_duplicates.near("l", "r")).count() == 1  # 155 of 256 agree
+
+
 @pytest.mark.parametrize("table", ["given", "odd", "empty"])
 def test_packing(table, request):
     df, library = request.getfixturevalue(table), Tokenizer.from_file(WORD)
