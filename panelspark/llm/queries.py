@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.llm import (
-    fm_index, huffman, language_id, line_dedup, near_duplicates, packing, quality_rules, sharding, token_counts,
-    tool_calls,
+    fm_index, huffman, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_rules, ranked_search,
+    sharding, token_counts, tool_calls,
 )
 from panelspark.llm.common import table
 
 SHARDS = 24
 SHUFFLE_SEED = 0
 TOKEN_LIMIT = 512
+TOP = 10
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search.search(docs, benchmark, TOP)
+
+
 #: ``[^ \t-\r]+`` as words; windows are compared as joined words.
 OP3_SQL = r"""
 WITH d AS (
@@ -106,8 +117,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bit
 FROM b
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), q AS (
+  SELECT item, item_id, term, count(*) AS repeats FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+  GROUP BY item, item_id, term
+), size AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d
+), p AS (
+  SELECT doc_id, doc, n, term, count(*) AS tf FROM (
+    SELECT doc_id, doc, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, doc, n, term
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p, size GROUP BY term, n_docs
+), s AS (
+  SELECT item, item_id, doc_id, doc, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (
+           100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), size GROUP BY item, item_id, doc_id, doc
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, doc)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 QUERIES = {query.__name__: query for query in (
     op1_sharding, op2_huffman_ids, op3_rule_ledger, op4_tool_calls, op5_near_duplicates, op6_packing,
-    op7_decontamination, op8_token_counts, op9_language_id, op10_line_dedup)}
+    op7_decontamination, op8_token_counts, op9_language_id, op10_line_dedup, op12_periodic_runs, op13_ranked_search)}
 
-ORACLES = {"op3_rule_ledger": OP3_SQL}
+ORACLES = {"op3_rule_ledger": OP3_SQL, "op13_ranked_search": OP13_SQL}
