@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.llm import (
-    fm_index, huffman, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_rules, ranked_search,
+    fm_index, huffman, katz, language_id, line_dedup, near_duplicates, packing, periodic_runs, quality_rules, ranked_search,
     sharding, token_counts, tool_calls,
 )
 from panelspark.llm.common import table
@@ -71,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents"))
     return periodic_runs.digests(periodic_runs.find_runs(docs))
@@ -151,6 +155,7 @@ QUALIFY rank <= 10
 
 QUERIES = {query.__name__: query for query in (
     op1_sharding, op2_huffman_ids, op3_rule_ledger, op4_tool_calls, op5_near_duplicates, op6_packing,
-    op7_decontamination, op8_token_counts, op9_language_id, op10_line_dedup, op12_periodic_runs, op13_ranked_search)}
+    op7_decontamination, op8_token_counts, op9_language_id, op10_line_dedup, op11_katz, op12_periodic_runs,
+    op13_ranked_search)}
 
 ORACLES = {"op3_rule_ledger": OP3_SQL, "op13_ranked_search": OP13_SQL}
