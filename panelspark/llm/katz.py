@@ -44,8 +44,8 @@ ORDER = 2
 CUTOFF = 5
 
 #: Text of a block, and of a part of the tables, about.
-BLOCK_BYTES = 16 << 20
-PART_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+PART_BYTES = 12 << 20
 
 #: One document in so many is held out.
 HELD_OUT = 10
@@ -55,7 +55,7 @@ UNSEEN, BEGIN, FIRST = 0, 1, 2
 
 BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, sizes array<long>, tokens binary, places binary, "
           "part_sizes binary, words binary, word_counts binary")
-ASKED = "part int, block long, contexts binary, sizes binary, words binary, lower binary, counts binary"
+ASKED = "part int, block long, contexts binary, sizes binary, words binary, lower binary, grams binary, counts binary"
 ANSWERS = "order int, part int, block long, ids binary, counts binary, contexts binary, hist array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -181,10 +181,13 @@ def _each(table: pa.Table, *names: str) -> list[tuple]:
     return list(zip(*(table.column(name).to_pylist() for name in names), strict=True))
 
 
+_ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), *[(name, pa.binary()) for name in (
+    "contexts", "sizes", "words", "lower", "grams", "counts")]])
+
+
 def ask_words(blocks: DataFrame) -> DataFrame:
     """ASKED of order 1: the block's words of each part, with their training counts."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *[(name, pa.binary()) for name in (
-        "contexts", "sizes", "words", "lower", "counts")]])
+    schema = _ASKED
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +199,8 @@ def ask_words(blocks: DataFrame) -> DataFrame:
                     if size:
                         rows.append((part, words[at + 4:at + 4 + width], pack(counts[done:done + size])))
                     at, done = at + 4 + width, done + size
-                none = [None] * len(rows)
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
-                                       pa.array(none, pa.binary()), pa.array(none, pa.binary()),
-                                       pa.array([r[1] for r in rows], pa.binary()), pa.array(none, pa.binary()),
-                                       pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"part": part, "block": block, "words": words, "counts": counts}
+                                                  for part, words, counts in rows], schema=schema)
 
     return blocks.select("block", "part_sizes", "words", "word_counts").mapInArrow(ask, ASKED)
 
@@ -240,18 +240,28 @@ def answer_words(asked: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(answer, ANSWERS)
 
 
-def answer_grams(asked: DataFrame, order: int, parts: int, last: bool) -> DataFrame:
+def seen_share(hist: list[int], counts: np.ndarray) -> np.ndarray:
+    """The unigram probability of words with these training counts, above 0."""
+    discount = discounts(hist[:CUTOFF + 1])
+    total, _ = left_over(discount, np.array([hist[-1]]), np.array([hist[:CUTOFF]], np.float64))
+    return discount[np.minimum(counts, CUTOFF + 1)] * counts / total[0]
+
+
+def answer_grams(asked: DataFrame, order: int, parts: int, last: bool, words_hist: list[int]) -> DataFrame:
     """ANSWERS of a higher order; ``contexts`` has the sums of each context that was asked for."""
     def answer(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        rows = _each(table, "block", "contexts", "sizes", "words", "lower", "counts")
+        rows = _each(table, "block", "contexts", "sizes", "words", "lower", "grams", "counts")
         contexts = [unpack_rising(row[1]) for row in rows]
         sizes = [unpack(row[2]) for row in rows]
         every, where = np.unique(np.concatenate(contexts), return_inverse=True)
         owner = np.repeat(where, np.concatenate(sizes))
-        words = np.concatenate([unpack(row[3]) for row in rows])
-        lower = np.concatenate([unpack(row[4]) for row in rows])
-        counts = np.concatenate([unpack(row[5]) for row in rows])
+        grams = [unpack(row[5]) for row in rows]
+        words = np.concatenate([unpack_rising(row[3])[at] for row, at in zip(rows, grams, strict=True)])
+        lower = np.concatenate([unpack(row[4])[at] for row, at in zip(rows, grams, strict=True)])
+        counts = np.concatenate([unpack(row[6]) for row in rows])
+        if order == 2:  # words come with their counts, which take less room than their probabilities
+            lower = seen_share(words_hist, lower)
         by = np.lexsort((words, owner))
         new = np.append(True, (owner[by][1:] != owner[by][:-1]) | (words[by][1:] != words[by][:-1])) if len(by) else by > 0
         at = np.empty(len(by), np.int64)
@@ -264,10 +274,10 @@ def answer_grams(asked: DataFrame, order: int, parts: int, last: bool) -> DataFr
         ids = np.zeros(len(totals), np.int64) if last else _numbers(totals, part, parts)
         out, done, seen = [], 0, 0
         for row, context, size in zip(rows, contexts, sizes, strict=True):
-            grams, seen = at[seen:seen + int(size.sum())], seen + int(size.sum())
+            own, seen = at[seen:seen + int(size.sum())], seen + int(size.sum())
             mine, done = where[done:done + len(context)], done + len(context)
             packed = b"".join(len(raw).to_bytes(4, "little") + raw for raw in (pack(one[mine]) for one in sums))
-            out.append((order, part, row[0], pack(ids[grams]), pack(totals[grams]), packed, None))
+            out.append((order, part, row[0], pack(ids[own]), pack(totals[own]), packed, None))
         out.append((order, part, None, None, None, None, _histogram(totals)))
         return pa.table([list(column) for column in zip(*out, strict=True)], schema=_ANSWERS)
 
@@ -286,27 +296,26 @@ def _unpack_sums(raw: bytes) -> np.ndarray:
 class _Asked:
     """The n-grams of a block of one order, in the order in which the parts are asked for them."""
 
-    def __init__(self, level: _Level, word: np.ndarray, local: np.ndarray, width: int, train: np.ndarray,
-                 parts: int, n_train: int):
+    def __init__(self, level: _Level, local: np.ndarray, width: int, train: np.ndarray, parts: int, n_train: int):
         known = level.context != UNSEEN
         self.contexts, first, of_known = np.unique(level.context[known], return_index=True, return_inverse=True)
         times = level.context_count[known][first]
         salts = np.where(times * parts <= n_train, 1, np.minimum(parts, -(-2 * times * parts // max(1, n_train))))
         base = (mixed(self.contexts) % np.uint64(parts)).astype(np.int64)
-        self.of_token = np.full(len(word), -1)
+        self.of_token = np.full(len(local), -1)
         self.of_token[known] = of_known
 
         self.asked = known & (level.number != UNSEEN)
         key = self.of_token[self.asked] * width + local[self.asked]
         _, first, gram = np.unique(key, return_index=True, return_inverse=True)
-        context, words = self.of_token[self.asked][first], word[self.asked][first]
+        context, words = self.of_token[self.asked][first], level.number[self.asked][first]
         counts = np.bincount(gram, train[self.asked]).astype(np.int64) if len(first) else np.zeros(0, np.int64)
         part = (base[context] + (mixed(words) % salts[context].astype(np.uint64)).astype(np.int64)) % parts
         by = np.lexsort((words, context, part))
         self.place = np.empty(len(by), np.int64)
         self.place[by] = np.arange(len(by))
         self.place = self.place[gram]
-        self.words, self.counts, self.lower = words[by], counts[by], level.p[self.asked][first][by]
+        self.words, self.counts, self.lower = words[by], counts[by], level.sent[self.asked][first][by]
 
         entry = np.repeat(np.arange(len(self.contexts)), salts)
         nth = np.arange(len(entry)) - np.repeat(np.cumsum(salts) - salts, salts)
@@ -323,16 +332,21 @@ class _Asked:
         starts = np.flatnonzero(np.diff(self.entry_part, prepend=-1))
         for low, high in zip(starts, np.append(starts[1:], len(self.entry)), strict=True):
             a, b = (ends[low - 1] if low else 0), ends[high - 1]
+            words, first, grams = np.unique(self.words[a:b], return_index=True, return_inverse=True)
             out.append((int(self.entry_part[low]), block, pack_rising(self.contexts[self.entry[low:high]]),
-                        pack(self.sizes[low:high]), pack(self.words[a:b]), pack(self.lower[a:b]), pack(self.counts[a:b])))
+                        pack(self.sizes[low:high]), pack_rising(words), pack(self.lower[a:b][first]), pack(grams),
+                        pack(self.counts[a:b])))
         return out
 
 
 class _Level:
-    """What is known of each token at one order: probability, number, and the context for the next order."""
+    """What is known of each token at one order: probability, number, and the context for the next order.
+
+    ``sent`` is what the next order's parts work the probability out from.
+    """
 
-    def __init__(self, p: np.ndarray, number: np.ndarray, times: np.ndarray, starts: np.ndarray, n_docs: int):
-        self.p, self.number = p, number
+    def __init__(self, p: np.ndarray, sent: np.ndarray, number: np.ndarray, times: np.ndarray, starts: np.ndarray, n_docs: int):
+        self.p, self.sent, self.number = p, sent, number
         self.context = np.append(BEGIN, number[:-1])
         self.context_count = np.append(n_docs, times[:-1])
         # A text begins behind the begin; at higher orders too, as nothing is seen before it.
@@ -359,16 +373,15 @@ class _Block:
         self.word, self.count = ids[places][local], counts[places][local]
         self.local, self.width = local, len(places)
         hist = model["hist"][1]
-        discount = discounts(hist[:CUTOFF + 1])
         self.n_train, self.n_types = hist[-1], hist[-2]
-        total, unknown = left_over(discount, np.array([self.n_train]), np.array([hist[:CUTOFF]], np.float64))
-        seen = discount[np.minimum(self.count, CUTOFF + 1)] * self.count / total[0]
-        self.level = _Level(np.where(self.count > 0, seen, unknown[0]), self.word, self.count, self.starts, model["n_docs"])
+        unknown = left_over(discounts(hist[:CUTOFF + 1]), np.array([self.n_train]), np.array([hist[:CUTOFF]], np.float64))[1]
+        p = np.where(self.count > 0, seen_share(hist, self.count), unknown[0])
+        self.level = _Level(p, self.count, self.word, self.count, self.starts, model["n_docs"])
         for order in range(2, model["answered"] + 1):
             self.level = self._next(self.asked(), by_order[order], discounts(model["hist"][order][:CUTOFF + 1]))
 
     def asked(self) -> _Asked:
-        return _Asked(self.level, self.word, self.local, self.width, self.train, self.model["parts"], self.n_train)
+        return _Asked(self.level, self.local, self.width, self.train, self.model["parts"], self.n_train)
 
     def _next(self, asked: _Asked, answers: list[dict], discount: np.ndarray) -> _Level:
         low, size = self.level.p, len(self.word)
@@ -384,7 +397,7 @@ class _Block:
             known = asked.of_token >= 0
             context, n = asked.of_token[known], times[known]
             p[known] = np.where(n > 0, discount[np.minimum(n, CUTOFF + 1)] * n / total[context], weight[context] * low[known])
-        return _Level(p, number, times, self.starts, self.model["n_docs"])
+        return _Level(p, p, number, times, self.starts, self.model["n_docs"])
 
     def scores(self) -> pa.Table:
         base = np.log10((self.count + 0.1) / (self.n_train + 0.1 * (self.n_types + 1)))
@@ -419,15 +432,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if k == 1:
             got = answer_words(ask_words(blocks), parts)
         else:
-            names = [part.split()[0] for part in ASKED.split(", ")]
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
             def ask(block: _Block) -> pa.Table:
                 rows = block.asked().rows(block.row["block"])
-                columns = zip(*rows, strict=True) if rows else [()] * len(names)
-                return pa.table([pa.array(list(column), kind) for column, kind in zip(columns, kinds, strict=True)], names=names)
+                return pa.Table.from_pylist([dict(zip(_ASKED.names, row, strict=True)) for row in rows], schema=_ASKED)
 
-            got = answer_grams(met(ask, ASKED), k, parts, last=k == order)
+            got = answer_grams(met(ask, ASKED), k, parts, k == order, model["hist"][1])
         got = store(got, f"ngrams-{k}")
         hist = [F.coalesce(F.sum(F.col("hist")[i]), F.lit(0)).alias(f"h{i}") for i in range(CUTOFF + 3)]
         model["hist"][k] = list(got.filter("block IS NULL").agg(*hist).first())  # one row

@@ -87,7 +87,7 @@ class Plain:
         return sum(math.log10(self.p(self.history(tokens, i, order), token, order)) for i, token in enumerate(tokens))
 
 
-def check(spark, rows, order, monkeypatch, block=2000, part=1500):
+def check(spark, rows, order, monkeypatch, block=6000, part=4000):
     monkeypatch.setattr(katz, "BLOCK_BYTES", block)
     monkeypatch.setattr(katz, "PART_BYTES", part)
     texts = [tokens_of(text) for doc_id, text in rows if not held_out(doc_id)]
@@ -132,7 +132,7 @@ def test_few_texts(spark, monkeypatch):
 
 def test_given_documents_beside_plain(spark, monkeypatch):
     rows = [tuple(row) for row in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    check(spark, rows, 2, monkeypatch, 100_000, 60_000)
+    check(spark, rows, 2, monkeypatch, 200_000, 150_000)
 
 
 def test_probabilities_add_up():
