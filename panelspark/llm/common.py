@@ -66,7 +66,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema for a plain ``name type, ...`` list."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(),
              "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
-             "array<int>": pa.list_(pa.int32()), "array<short>": pa.list_(pa.int16())}
+             "array<int>": pa.list_(pa.int32()), "array<short>": pa.list_(pa.int16()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 

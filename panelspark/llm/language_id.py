@@ -4,9 +4,13 @@ A word that the model knows counts with its log frequency in each language.  For
 other word the n-grams of the longest order of which the model knows one count, with the
 mean of their log frequencies; a word without a known letter counts for nothing.
 
-All labelled texts are counted and every count is kept, so the model grows with the different
-words and n-grams of the input: some 14 bytes for each feature and language that has it, as
-features are known by a 64-bit hash.  The driver and every worker hold it whole.
+The model is fitted on a bounded sample of the labelled rows: LABELLED_ROWS in all, the same number of
+each language, or all rows of a language that has fewer.  Which rows is decided by a hash of id and text.
+All words and n-grams of the sampled texts are kept with their counts in every language, as 64-bit
+hashes with some 14 bytes for each feature and language that has it; the size of the model so does not
+depend on the size of the input.  It is sent to the workers as plain arrays.
+
+Ties between languages go to the first by name.
 
 Nulls, empties and odd input: a null text or one without letters is ``und`` with score 0;
 texts without a label teach nothing; repeated rows count each time; without a labelled
@@ -30,6 +34,15 @@ from panelspark.llm.common import arrow_schema, kept_by_worker, slices, store
 #: Longest n-gram.
 ORDER = 3
 
+#: Labelled rows that a model is fitted on, about (a row is taken if its hash lies below its language's share).
+LABELLED_ROWS = 16_000
+
+#: A text is of its language if so many of its words are known in it, or have half of their longest n-grams there.
+LEAST_PLAUSIBLE = 0.5
+
+#: And if so many of its characters, white space aside, are letters.
+LEAST_LETTERS = 0.2
+
 #: Words whose evidence a worker keeps.
 CACHE_ENTRIES = 500_000
 
@@ -91,6 +104,16 @@ def count_features(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return labelled.mapInArrow(count, out).groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
+def sample(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """(lang, text) of about ``rows`` labelled rows, as many of each language; all of a language that has fewer."""
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    # One row for each language there is.
+    share = counts.crossJoin(counts.agg(F.count("*").alias("_langs"))).select("lang", F.expr(f"{rows} / _langs / _n").alias("_share"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
+    return labelled.select("lang", "text", draw.alias("_draw")).join(share, "lang").filter("_draw < _share").select("lang", "text")
+
+
 def hashes_of(features: list[str]) -> np.ndarray:
     """What Spark's xxhash64 gives for each."""
     import xxhash
@@ -102,6 +125,13 @@ def hashes_of(features: list[str]) -> np.ndarray:
 class Model:
     """Log frequencies by language of all words and n-grams that were counted."""
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """The model with these plain values."""
+        model = cls.__new__(cls)
+        model.__dict__.update(state)
+        return model
+
     def __init__(self, counts: pa.Table, totals: dict[tuple[str, int], tuple[int, int]], order: int):
         self.order = order
         self.langs = sorted({lang for lang, _ in totals})
@@ -139,6 +169,30 @@ class Model:
         out[np.repeat(np.arange(len(places)), sizes), self.lang[kind][entries]] = self.logs[kind][entries]
         return out
 
+    def known_in(self, kind: int, places: np.ndarray) -> np.ndarray:
+        """For every language, whether each feature was counted in it; places of -1 are of no language."""
+        out = np.zeros((len(places), len(self.langs)), bool)
+        found = np.flatnonzero(places >= 0)
+        first = self.starts[kind][places[found]]
+        sizes = self.starts[kind][places[found] + 1] - first
+        entries = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        out[np.repeat(found, sizes), self.lang[kind][entries]] = True
+        return out
+
+    def plausible(self, words: list[str]) -> np.ndarray:
+        """For every language, whether each word is known in it, or at least half of its longest n-grams are."""
+        out = self.known_in(0, self.places(0, words))
+        left = np.flatnonzero(~out.all(axis=1))
+        if len(left):
+            grams = [grams_of(words[i], self.order) for i in left.tolist()]
+            sizes = np.array([len(one) for one in grams])
+            known = self.known_in(self.order, self.places(self.order, list(chain.from_iterable(grams))))
+            owner = np.repeat(np.arange(len(left)), sizes)
+            share = np.zeros((len(left), len(self.langs)))
+            np.add.at(share, owner, known)
+            out[left] |= 2 * share >= np.maximum(1, sizes)[:, None]
+        return out
+
     def evidence(self, words: list[str]) -> np.ndarray:
         """A row for each word: its log frequencies, or the mean of those of its n-grams."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -161,48 +215,70 @@ class Model:
 
 
 class Scorer:
-    """A model with the evidence of the words a worker has met."""
+    """A model with the evidence of the words a worker has met, and whether they are plausible if that is asked for."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, judges: bool = False):
+        self.model, self.judges = model, judges
         self.at: dict[str, int] = {}
         self.table = np.zeros((1 << 12, max(1, len(model.langs))), np.float32)
+        self.fits = np.zeros(self.table.shape, bool)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the probability."""
-        words = words_of(text or "")
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Where each word lies in the table."""
         if len(self.at) > CACHE_ENTRIES:
             self.at.clear()
         if new := list(set(words).difference(self.at)):
             first = len(self.at)
             while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.fits = np.concatenate([self.fits, np.zeros_like(self.fits)])
             self.table[first:first + len(new)] = self.model.evidence(new)
+            if self.judges:
+                self.fits[first:first + len(new)] = self.model.plausible(new)
             self.at.update(zip(new, range(first, first + len(new)), strict=True))
-        total = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def _best(self, rows: np.ndarray) -> tuple[int, float]:
+        total = self.table[rows].sum(axis=0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(total.argmax())
-        return self.model.langs[best], float(share[best] / share.sum())
+        return best, float(share[best] / share.sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of the probability."""
+        words = words_of(text or "")
+        if not words or not self.model.langs:
+            return UNKNOWN, 0.0
+        best, share = self._best(self._rows(words))
+        return self.model.langs[best], share
+
+    def identified(self, text: str | None) -> bool:
+        """Whether the text is in one of the languages: mostly plausible words of it, and letters enough."""
+        words = words_of(text or "")
+        if not words or not self.model.langs:
+            return False
+        if sum(map(len, words)) < LEAST_LETTERS * len("".join((text or "").split())):
+            return False
+        rows = self._rows(words)
+        return bool(self.fits[rows, self._best(rows)[0]].mean() >= LEAST_PLAUSIBLE)
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
-    """Learn from all rows of ``docs`` with a text and a lang."""
-    counts = store(count_features(docs, order).select("lang", "kind", F.xxhash64("feature").alias("feature"), "n"),
+    """Learn from a bounded sample of the rows of ``docs`` with a text and a lang."""
+    counts = store(count_features(sample(docs), order).select("lang", "kind", F.xxhash64("feature").alias("feature"), "n"),
                    "language-counts")
     totals = {(row["lang"], row["kind"]): (row["tokens"], row["types"]) for row in counts.groupBy("lang", "kind").agg(
         F.sum("n").alias("tokens"), F.count("*").alias("types")).collect()}
     return Model(counts.toArrow(), totals, order)
 
 
-def predict_with(docs: DataFrame, model: Model):
-    """A function for tasks that gives the worker's scorer."""
+def predict_with(docs: DataFrame, model: Model, judges: bool = False):
+    """A function for tasks that gives the worker's scorer; plain arrays are sent, of bounded size."""
     import uuid
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
     name = f"language-scorer:{uuid.uuid4().hex}"
-    return lambda: kept_by_worker(name, lambda: Scorer(shared.value))
+    return lambda: kept_by_worker(name, lambda: Scorer(Model.of(shared.value), judges))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -222,16 +298,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, out)
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is known with at least ``least_score``."""
-    scorer_of = predict_with(docs, model)
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are in one of the model's languages."""
+    scorer_of = predict_with(docs, model, judges=True)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of()
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [scorer.predict(text) for text in part.column("text").to_pylist()]
-                yield part.filter(pa.array([lang != UNKNOWN and share >= least_score for lang, share in got], pa.bool_()))
+                yield part.filter(pa.array([scorer.identified(text) for text in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
