@@ -20,6 +20,7 @@ empty tables give no hits; of the inputs' columns only doc_id, item_id and text
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import arrow_schema, slices, store, without_ids
+from panelspark.llm.common import arrow_schema, kept_by_worker, slices, store, without_ids
 
 #: Words that phrases use in one index.
 SHARD_WORDS = 1 << 19
@@ -235,31 +236,34 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], reach[np.append(new[1:], len(reach)) - 1]
 
 
-SPANS = "doc_id long, text_key long, n_words long, span_starts array<long>, span_ends array<long>, items string, n_items long"
+SPANS = "doc_id long, text_key long, n_words long, span_starts array<long>, span_ends array<long>, items array<string>, n_items long"
 
 
 def _search_block(docs: DataFrame, items: list[tuple[int | None, str | None]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    # Plain rows are sent, since a worker without this package cannot unpickle its classes.
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    name = f"phrases:{uuid.uuid4().hex}"
     schema = arrow_schema(SPANS)
 
     def rows(shard: Shard) -> pa.RecordBatch:
         out = []
         for (doc_id, n_words, starts, ends, phrases), key in zip(shard.spans(), shard.keys, strict=True):
-            names = sorted({name for phrase in phrases for name in shared.value.items[phrase]})
-            out.append((doc_id, key, n_words, starts, ends, ",".join(names), len(names)))
+            names = sorted({name for phrase in phrases for name in shard.phrases.items[phrase]})
+            out.append((doc_id, key, n_words, starts, ends, names, len(names)))
         columns = zip(*out, strict=True)
         return pa.record_batch([pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)],
                                schema=schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(shared.value)
+        phrases = kept_by_worker(name, lambda: Phrases(shared.value, window))
+        shard = Shard(phrases)
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     shard.add(doc_id, text)
                     if shard.held >= SHARD_WORDS:
                         yield rows(shard)
-                        shard = Shard(shared.value)
+                        shard = Shard(phrases)
         if shard.doc_ids:
             yield rows(shard)
 
@@ -269,7 +273,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str | None]], w
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text_key, n_words, span_starts, span_ends, items, n_items): where test phrases lie, in words from 0.
 
-    ``items`` has the ids, sorted as strings and joined by commas.
+    ``items`` has the ids, sorted as strings.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = size // block_bytes + 1
@@ -297,10 +301,10 @@ def _merge_blocks(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
         ends = np.array([x for row in rows for x in row["span_ends"]], np.int64)
         order = np.argsort(starts, kind="stable")
         begin, end = merged(starts[order], ends[order])
-        names = sorted({name for row in rows for name in row["items"].split(",") if name})
+        names = sorted({name for row in rows for name in row["items"]})
         return pa.Table.from_pylist([{"doc_id": rows[0]["doc_id"], "text_key": rows[0]["text_key"], "n_words": rows[0]["n_words"],
                                       "span_starts": begin.tolist(), "span_ends": end.tolist(),
-                                      "items": ",".join(names), "n_items": len(names)}], schema=schema)
+                                      "items": names, "n_items": len(names)}], schema=schema)
 
     hits = every.groupBy("doc_id", "text_key").applyInArrow(merge, SPANS)
     rows = _search_block(docs, [], 1).alias("d")
@@ -315,7 +319,7 @@ def contamination(spans: DataFrame) -> DataFrame:
     hit = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: b - a), F.lit(0).cast("long"),
                       lambda total, length: total + length)
     return spans.select(
-        "doc_id", "n_words", hit.alias("n_hit"), "n_items", F.sha2(F.col("items"), 256).alias("items_sha256"),
+        "doc_id", "n_words", hit.alias("n_hit"), "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
 
 
