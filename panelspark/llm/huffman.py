@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import arrow_schema, shared_folder, slices, store
+from panelspark.llm.common import arrow_schema, kept_by_worker, shared_folder, slices, store
 from panelspark.llm.tokens import shared_encoder
 
 #: No code is longer; fits any vocabulary of up to 2**MAX_BITS ids.
@@ -34,30 +35,38 @@ INTERVAL = 256
 #: Ids that a block has at least, and that are coded or decoded at a time.
 BLOCK_IDS = 1 << 18
 
-IDS = "doc_id long, n_tokens long, ids binary"
+#: ``ids`` are little-endian, ``width`` bytes each: two if the vocabulary allows, else four.
+IDS = "doc_id long, n_tokens long, width int, ids binary"
 BLOCKS = ("part int, block int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, "
           "bits binary, offsets binary")
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of the whole text and ``end_id``, as little-endian 32-bit numbers."""
+    """(doc_id, n_tokens, width, ids): the ids of the whole text and ``end_id``."""
     encoder_of = shared_encoder(docs.sparkSession, vocabulary_path)
     schema = arrow_schema(IDS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of()
+        dtype = encoder.dtype if end_id < 1 << 8 * encoder.dtype.itemsize else np.dtype("<u4")
+        end, width = np.array([end_id], dtype).tobytes(), dtype.itemsize
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = []
-                for raw in encoder.encode([text or "" for text in part.column("text").to_pylist()]):
-                    wide = np.frombuffer(raw, encoder.dtype).astype("<u4")
-                    ids.append(np.append(wide, np.uint32(end_id)).astype("<u4").tobytes())
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                       pa.array(ids, pa.binary())], schema=schema)
+                ids = [np.frombuffer(raw, encoder.dtype).astype(dtype, copy=False).tobytes() + end
+                       for raw in encoder.encode([text or "" for text in part.column("text").to_pylist()])]
+                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()),
+                                       pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, IDS)
 
 
+def flat_ids(rows: pa.Array, width: int) -> np.ndarray:
+    """The ids of all rows in a row, read from the column's own bytes."""
+    low, high = rows.offset, rows.offset + len(rows)
+    bounds = np.frombuffer(rows.buffers()[1], "<i4")
+    return np.frombuffer(rows.buffers()[2] or b"", f"<u{width}")[bounds[low] // width:bounds[high] // width]
+
+
 def count_ids(encoded: DataFrame) -> DataFrame:
     """(id, n) over all documents; each task sends one row for each different id at most."""
     schema = arrow_schema("id long, n long")
@@ -65,15 +74,16 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
+            for width in set(batch.column("width").to_pylist()):
+                rows = batch.filter(pc.equal(batch.column("width"), width)).column("ids")
+                got = np.bincount(flat_ids(rows, width))
                 if len(got) > len(total):
                     total, got = got, total
                 total[:len(got)] += got
         ids = np.flatnonzero(total)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], schema=schema)
 
-    return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: dict[int, int], limit: int = MAX_BITS) -> dict[int, int]:
@@ -162,80 +172,92 @@ class Codebook:
         return out.T.reshape(-1)[:n_ids]
 
 
+def shared_book(spark: SparkSession, bits: dict[int, int]) -> Callable[[], Codebook]:
+    """A function that gives a worker's codebook; only the code lengths are sent, one for each id of the vocabulary."""
+    shared = spark.sparkContext.broadcast(bits)
+    name = f"codebook:{uuid.uuid4().hex}"
+    return lambda: kept_by_worker(name, lambda: Codebook(shared.value))
+
+
 def write(encoded: DataFrame, path: str) -> None:
     """Code ``encoded`` (a stored table of ``encode_documents``) in ascending doc_id order below ``path``."""
     counts = {row["id"]: row["n"] for row in count_ids(encoded).collect()}  # as many as the vocabulary has ids
     bits = code_lengths(counts)
     spark = encoded.sparkSession
     spark.createDataFrame(sorted(bits.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    book = spark.sparkContext.broadcast(Codebook(bits))
+    book_of = shared_book(spark, bits)
     schema = arrow_schema(BLOCKS)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        block = first = 0
+        block = first = held = 0
         doc_ids: list[int | None] = []
-        doc_ids_raw: list[bytes] = []
-        held = 0
+        sizes: list[int] = []
+        held_ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(doc_ids_raw), "<u4")
+            book, ids = book_of(), np.concatenate(held_ids)
             coded, offsets, base = [], [], 0
             for start in range(0, len(ids), BLOCK_IDS):
-                raw, at = book.value.encode(ids[start:start + BLOCK_IDS])
+                raw, at = book.encode(ids[start:start + BLOCK_IDS])
                 coded.append(raw)
                 offsets.append(at + base)
                 base += len(raw) * 8
-            row = {"part": part, "block": block, "first": first, "n_ids": len(ids), "doc_ids": doc_ids,
-                   "doc_tokens": [len(raw) // 4 for raw in doc_ids_raw], "bits": b"".join(coded),
-                   "offsets": np.concatenate(offsets).astype("<i8").tobytes()}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            return pa.record_batch([
+                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
+                pa.array([len(ids)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(coded)], pa.binary()),
+                pa.array([np.concatenate(offsets).astype("<i8").tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, size, width, raw in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "n_tokens", "width")),
+                                                batch.column("ids"), strict=True):
                 doc_ids.append(doc_id)
-                doc_ids_raw.append(raw.as_py())
-                held += len(doc_ids_raw[-1]) // 4
+                sizes.append(size)
+                held_ids.append(np.frombuffer(raw.as_buffer(), f"<u{width}").copy())
+                held += size
                 if held >= BLOCK_IDS:
                     yield flush()
-                    block, first, doc_ids, doc_ids_raw, held = block + 1, first + held, [], [], 0
+                    block, first, held = block + 1, first + held, 0
+                    doc_ids, sizes, held_ids = [], [], []
         if doc_ids:
             yield flush()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(code, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files at ``path``; ``start`` counts the ids of all documents before."""
     bits = {row["id"]: row["bits"] for row in spark.read.parquet(f"{path}/codebook").collect()}
-    book = spark.sparkContext.broadcast(Codebook(bits))
+    book_of = shared_book(spark, bits)
     out = "doc_id long, start long, n_tokens long, ids binary"
     schema = arrow_schema(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                offsets = np.frombuffer(row["offsets"], "<i8")
+                n_ids, before = batch.column("n_ids")[i].as_py(), batch.column("before")[i].as_py()
+                bits = batch.column("bits")[i].as_buffer()
+                offsets = np.frombuffer(batch.column("offsets")[i].as_buffer(), "<i8")
+                sizes = batch.column("doc_tokens")[i].values.to_numpy()
                 decoded = []
-                for start in range(0, row["n_ids"], BLOCK_IDS):
+                for start in range(0, n_ids, BLOCK_IDS):
                     lanes = offsets[start // INTERVAL:(start + BLOCK_IDS) // INTERVAL]
                     more = (start + BLOCK_IDS) // INTERVAL
                     low = int(lanes[0]) // 8
-                    high = int(offsets[more]) // 8 if more < len(offsets) else len(row["bits"])
-                    n_ids = min(BLOCK_IDS, row["n_ids"] - start)
-                    decoded.append(book.value.decode(row["bits"][low:high], lanes - lanes[0], n_ids))
+                    high = int(offsets[more]) // 8 if more < len(offsets) else len(bits)
+                    decoded.append(book_of().decode(bits[low:high], lanes - lanes[0], min(BLOCK_IDS, n_ids - start)))
                 ids = np.concatenate(decoded).astype("<u4")
-                ends = np.cumsum(row["doc_tokens"])
-                raw = [part.tobytes() for part in np.split(ids, ends[:-1])]
-                starts = ends - row["doc_tokens"] + row["before"]
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()),
-                                       pa.array(row["doc_tokens"], pa.int64()), pa.array(raw, pa.binary())],
-                                      schema=schema)
+                ends = np.cumsum(sizes)
+                bounds = np.append(0, ends * 4)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+                    None, pa.py_buffer(bounds.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.record_batch([batch.column("doc_ids")[i].values, pa.array(ends - sizes + before),
+                                       pa.array(sizes), raw], schema=schema)
 
     blocks = spark.read.parquet(f"{path}/blocks")
     # One row for each part of the files; a block knows what comes before it in its part.
