@@ -18,14 +18,16 @@ def panel_fingerprint(row_no: Column, place: Column, metrics: Column) -> Column:
     """Aggregate digest of a table: row count and every (position, place, metrics).
 
     The position is hashed into each row, so page order counts although the
-    combination itself is order-free and therefore pre-aggregates on the map side.
+    combination itself is order-free and therefore pre-aggregates on the map side.  A table
+    whose rows have no position is refused: its digest would not see their order.
     """
     text = metrics_text(metrics)
     added = F.sum(F.xxhash64(row_no, place, text).cast("decimal(38,0)"))
     mixed = F.bit_xor(F.xxhash64(F.lit("b"), text, place, row_no))
     n = F.count(F.lit(1))
     digest = F.substring(F.sha2(F.concat_ws("|", n, added, mixed), 256), 1, 32)
-    return F.when(n > 0, digest).otherwise(F.lit(""))
+    placeless = F.raise_error(F.lit("a digest needs the position of every row")).cast("string")
+    return F.when(F.count(row_no) < n, placeless).when(n > 0, digest).otherwise(F.lit(""))
 
 
 def schema_tag(

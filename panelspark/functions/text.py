@@ -79,16 +79,10 @@ def norm_label(c: Column) -> Column:
     """
     text = F.coalesce(c, F.lit(""))
     source, target, several = _folding_tables()
-    # One literal: each entry is a character followed by what it folds to.
-    pairs = F.split(F.lit(" ".join(a + b for a, b in several)), " ")
-    rare = _char_class([a for a, _ in several])
-    spread = F.when(
-        text.rlike(rare),
-        F.aggregate(
-            pairs, text,
-            lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))),
-        ),
-    ).otherwise(text)
+    # One map literal; a text asks it once for each different rare character that it holds.
+    meaning = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    rare = F.array_distinct(F.regexp_extract_all(text, F.lit(_char_class([a for a, _ in several])), 0))
+    spread = F.aggregate(rare, text, lambda acc, ch: F.replace(acc, ch, F.element_at(meaning, ch)))
     folded = F.when(_is_ascii(text), text).otherwise(F.translate(spread, source, target))
     return F.regexp_replace(F.lower(folded), "[^a-z0-9]+", "")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as num
-from ..session import written, one_row, small_side
+from ..session import one_row, written
 from ..vocab import (
     ANOMALY_HIGH, ANOMALY_LOW, ANOMALY_MIN_SAMPLE, BASKET, HIGHER_IS_BETTER,
 )
@@ -49,7 +49,7 @@ def best_of(long: DataFrame) -> DataFrame:
 def mark_best(long: DataFrame) -> DataFrame:
     """Adds ``is_best`` to ``(entity, metric, value)`` rows, which are worked out once."""
     long = written(long)
-    return long.join(small_side(best_of(long)), "metric").withColumn(
+    return long.join(best_of(long), "metric").withColumn(
         "is_best", F.coalesce(F.col("value") == F.col("best"), F.lit(False))
     )
 
@@ -81,7 +81,7 @@ def ratio_anomalies(ratios: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     known = written(ratios.select(*groups, "entity", "ratio_exact").filter("ratio_exact IS NOT NULL"))
     medians = exact_medians(known, groups, "ratio_exact", "median_ratio")
     usable = medians.filter((F.col("n") >= ANOMALY_MIN_SAMPLE) & (F.col("median_ratio") != 0)).drop("n")
-    joined = known.join(small_side(usable), list(groups)) if groups else known.crossJoin(one_row(usable))
+    joined = known.join(usable, list(groups)) if groups else known.crossJoin(one_row(usable))
     deviation = F.try_divide(F.col("ratio_exact"), F.col("median_ratio"))
     return joined.withColumn("_dev", deviation).filter(
         ~F.col("_dev").between(ANOMALY_LOW, ANOMALY_HIGH)

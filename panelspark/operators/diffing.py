@@ -1,18 +1,21 @@
 """Two snapshots of one panel, joined on keys that occur once per side.
 
-The join is an aggregation: both sides are unioned and grouped by key, so a label
+The join is an aggregation of numbers alone: both sides are unioned and grouped by key, so a label
 that is repeated a billion times collapses on the map side to two counts instead
-of meeting in one join task.
+of meeting in one join task.  The labels of the rows that were compared come by a join on the
+key, and only where rows are shown; counts and statistics never read them.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import abs_change, finite, pct_change, share
-from ..session import written, one_row, rows_with_counted_keys
+from ..session import one_row, written
 from ..vocab import (
     DISTINCT_DELTA_FLOOR, DISTINCT_DELTA_MIN_SAMPLE, FROZEN_COLUMN_MIN_SAMPLE, MIN_OVERLAP,
     REBASE_DIRECTION_SHARE, REBASE_MIN_SAMPLE, SAMPLE_ROWS, STATUSES,
@@ -29,32 +32,32 @@ ORDERS = ("abs", "pct")
 DIRECTIONS = ("both", "rising", "falling")
 
 
-def _side(table: DataFrame, side: str, column: str, controls: Sequence[str]) -> DataFrame:
-    metric = lambda name: F.try_element_at("metrics", F.lit(name))
-    return table.select(
-        F.lit(side).alias("side"), F.col("place_key").alias("key"),
-        F.struct("place", "city", "country", "rank", metric(column).alias("value")).alias("r"),
-        F.array(*[metric(c) for c in controls]).cast("array<double>").alias("controls"),
-    )
+def sides(from_table: DataFrame, to_table: DataFrame) -> DataFrame:
+    """Both tables in one, with their ``side``."""
+    columns = ["place", "city", "country", "rank", "metrics", "place_key"]
+    return from_table.select(F.lit("from").alias("side"), *columns).unionByName(
+        to_table.select(F.lit("to").alias("side"), *columns))
 
 
-def pair_by_key(
-    from_table: DataFrame, to_table: DataFrame, column: str, controls: Sequence[str] = ()
-) -> DataFrame:
-    """``(key, n_from, n_to, f, t, cf, ct)``: one row per key of either side.
+def sides_of(view: DataFrame, frm: str, to: str) -> DataFrame:
+    """The same from one view: a single scan of two slices, which keeps the bucketing of a table stored by key."""
+    side = F.when(F.col("snapshot") == frm, "from").otherwise("to")
+    return view.filter(F.col("snapshot").isin(frm, to)).withColumn("side", side)
 
-    ``f``/``t`` are the side's row and mean something only where its count is 1.
-    """
-    both = _side(from_table, "from", column, controls).unionByName(_side(to_table, "to", column, controls))
-    is_from = F.col("side") == "from"
 
-    def pick(name: str, here: Column) -> Column:
-        return F.first(F.when(here, F.col(name)), ignorenulls=True)
+def pair_by_key(both: DataFrame, column: str, controls: Sequence[str] = ()) -> DataFrame:
+    """``(key, n_from, n_to, value_from, value_to, rank_from, rank_to, c0_from, ...)``: one row per key of either side.
 
-    return both.groupBy("key").agg(
+    A side's figures mean something only where its count is 1.  All of them have a fixed width, so the
+    aggregation hashes and never sorts.
+    """
+    metric = lambda name: F.try_element_at("metrics", F.lit(name))
+    names = {"value": metric(column), "rank": F.col("rank"), **{f"c{i}": metric(c) for i, c in enumerate(controls)}}
+    is_from = F.col("side") == "from"
+    return both.select(F.col("place_key").alias("key"), "side", *[c.alias(name) for name, c in names.items()]).groupBy("key").agg(
         F.count_if(is_from).alias("n_from"), F.count_if(~is_from).alias("n_to"),
-        pick("r", is_from).alias("f"), pick("r", ~is_from).alias("t"),
-        pick("controls", is_from).alias("cf"), pick("controls", ~is_from).alias("ct"),
+        *[F.max(F.when(here, F.col(name))).alias(f"{name}_{side}")
+          for name in names for side, here in (("from", is_from), ("to", ~is_from))],
     )
 
 
@@ -62,31 +65,33 @@ def _keyed() -> Column:
     return F.col("key") != ""
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """Rows of keys that are unique on at least one side, with status and figures."""
+def compared(pairs: DataFrame, both: DataFrame) -> DataFrame:
+    """Rows of keys that are unique on at least one side, with status, figures and the label of the later side."""
     here_from, here_to = F.col("n_from") == 1, F.col("n_to") == 1
     figures = pairs.filter(_keyed() & (here_from | here_to)).withColumns({
-        "_d": abs_change(F.col("f.value"), F.col("t.value")),
-        "_p": pct_change(F.col("f.value"), F.col("t.value")),
+        "_d": abs_change(F.col("value_from"), F.col("value_to")),
+        "_p": pct_change(F.col("value_from"), F.col("value_to")),
         "joined": here_from & here_to,
-        "_row": F.when(here_to, F.col("t")).otherwise(F.col("f")),
     })
     status = (
         F.when(~here_from, "new").when(~here_to, "delisted")
         .otherwise(F.coalesce(F.col("_d.reason"), F.lit("moved")))
     )
     moved = F.col("joined") & F.col("_d.reason").isNull()
-    return figures.select(
-        F.col("_row.place").alias("place"), F.col("_row.city").alias("city"), F.col("_row.country").alias("country"),
-        "key", status.alias("status"),
+    rows = figures.select(
+        "key", (~here_to).alias("_from_old"), status.alias("status"),
         F.when(moved & F.col("_p.pct").isNull(), F.col("_p.reason")).alias("reason"),
-        F.when(here_from, F.col("f.value")).alias("value_from"),
-        F.when(here_to, F.col("t.value")).alias("value_to"),
+        F.when(here_from, F.col("value_from")).alias("value_from"),
+        F.when(here_to, F.col("value_to")).alias("value_to"),
         F.when(F.col("joined"), F.col("_d.delta")).alias("delta"),
         F.when(F.col("joined"), F.col("_p.pct")).alias("pct"),
-        F.when(here_from, F.col("f.rank")).alias("rank_from"),
-        F.when(here_to, F.col("t.rank")).alias("rank_to"),
+        F.when(here_from, F.col("rank_from")).alias("rank_from"),
+        F.when(here_to, F.col("rank_to")).alias("rank_to"),
     )
+    # The side is no join key: the figures lie by key already and stay where they are.
+    r, labels = rows.alias("r"), both.select(F.col("place_key").alias("key"), "side", "place", "city", "country").alias("l")
+    joined = r.join(labels, F.expr("r.key = l.key AND if(l.side = 'from', r._from_old, NOT r._from_old)"))
+    return joined.select("l.place", "l.city", "l.country", *[f"r.{c}" for c in rows.columns if c != "_from_old"])
 
 
 def excluded_keys(pairs: DataFrame) -> DataFrame:
@@ -103,13 +108,11 @@ def excluded_keys(pairs: DataFrame) -> DataFrame:
     )
 
 
-def excluded_rows(from_table: DataFrame, to_table: DataFrame, pairs: DataFrame) -> DataFrame:
+def excluded_rows(both: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows the join refuses: every copy of a repeated key, and labels without a key."""
-    columns = ["place", "city", "country", F.col("place_key").alias("key")]
-    rows = from_table.select(F.lit("from").alias("side"), *columns).unionByName(
-        to_table.select(F.lit("to").alias("side"), *columns)
-    )
-    refused = rows_with_counted_keys(rows, excluded_keys(pairs).drop("reason"), ["side", "key"])
+    rows = both.select("side", "place", "city", "country", F.col("place_key").alias("key"))
+    # Adaptive execution broadcasts a short list of keys, and otherwise splits the rows of a hot one.
+    refused = rows.join(excluded_keys(pairs).select("side", "key"), ["side", "key"], "left_semi")
     return refused.select(
         "place", "city", "country", "key",
         F.when(_keyed(), "duplicate_key").otherwise("unkeyable_label").alias("status"),
@@ -117,34 +120,32 @@ def excluded_rows(from_table: DataFrame, to_table: DataFrame, pairs: DataFrame)
     )
 
 
-def with_sizes(rows: DataFrame, from_table: DataFrame, to_table: DataFrame) -> DataFrame:
+def with_sizes(rows: DataFrame, both: DataFrame) -> DataFrame:
     """Put both table sizes beside every row, in the fixed row schema."""
-    sizes = from_table.agg(F.count(F.lit(1)).cast("int").alias("of_from")).crossJoin(
-        one_row(to_table.agg(F.count(F.lit(1)).cast("int").alias("of_to")))
-    )
+    is_from = F.col("side") == "from"
+    sizes = both.agg(F.count_if(is_from).cast("int").alias("of_from"), F.count_if(~is_from).cast("int").alias("of_to"))
     return rows.crossJoin(one_row(sizes)).select(*ROW_COLUMNS)
 
 
-def diff_rows(from_table: DataFrame, to_table: DataFrame, column: str) -> DataFrame:
+def diff_rows(both: DataFrame, column: str) -> DataFrame:
     """Every row of the union, with one fixed row schema."""
-    pairs = pair_by_key(from_table, to_table, column)
-    refused = excluded_rows(from_table, to_table, pairs)
-    rows = compared(pairs).unionByName(refused, allowMissingColumns=True)
-    return with_sizes(rows, from_table, to_table)
+    pairs = pair_by_key(both, column)
+    rows = compared(pairs, both).unionByName(excluded_rows(both, pairs), allowMissingColumns=True)
+    return with_sizes(rows, both)
 
 
 # ---------------------------------------------------------------- one-row summary
 
 
-def _control_flags() -> tuple[Column, Column]:
+def _control_flags(pairs: DataFrame) -> tuple[Column, Column]:
     """Per joined key: was any control cell comparable, and did any move."""
-    deltas = F.when(
-        _keyed() & (F.col("n_from") == 1) & (F.col("n_to") == 1),
-        F.zip_with("cf", "ct", lambda a, b: finite(b - a)),
-    )
+    joined = _keyed() & (F.col("n_from") == 1) & (F.col("n_to") == 1)
+    controls = [c.removesuffix("_from") for c in pairs.columns if re.fullmatch("c[0-9]+_from", c)]
+    deltas = [F.when(joined, finite(F.col(f"{c}_to") - F.col(f"{c}_from"))) for c in controls]
+    nothing = F.lit(False)
     return (
-        F.coalesce(F.exists(deltas, lambda d: d.isNotNull()), F.lit(False)),
-        F.coalesce(F.exists(deltas, lambda d: F.coalesce(d != 0, F.lit(False))), F.lit(False)),
+        functools.reduce(Column.__or__, [d.isNotNull() for d in deltas], nothing),
+        functools.reduce(Column.__or__, [F.coalesce(d != 0, nothing) for d in deltas], nothing),
     )
 
 
@@ -160,14 +161,14 @@ def summary(pairs: DataFrame) -> DataFrame:
     the counts, the distinct deltas and the medians do not each join the two
     snapshots again.  All of them combine on the map side.
     """
-    comparable, moved_control = _control_flags()
+    comparable, moved_control = _control_flags(pairs)
     here_from, here_to = F.col("n_from") == 1, F.col("n_to") == 1
     joined = _keyed() & here_from & here_to
-    change = abs_change(F.col("f.value"), F.col("t.value"))
+    change = abs_change(F.col("value_from"), F.col("value_to"))
     base = written(pairs.select(
         _keyed().alias("keyed"), "n_from", "n_to", joined.alias("joined"),
         F.when(joined, change["delta"]).alias("delta"),
-        F.when(joined, pct_change(F.col("f.value"), F.col("t.value"))["pct"]).alias("pct"),
+        F.when(joined, pct_change(F.col("value_from"), F.col("value_to"))["pct"]).alias("pct"),
         F.when(~_keyed(), "unkeyable_label")
         .when(joined, F.coalesce(change["reason"], F.lit("moved")))
         .when(here_to, "new").when(here_from, "delisted").alias("status"),

@@ -68,14 +68,25 @@ def moved_snapshots(observations: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def drift_cause(prints: DataFrame, frm: str, to: str) -> DataFrame:
+def probe_of(published: Sequence[str], frm: str, to: str) -> str | None:
+    """The oldest published id that is neither side; only such a table can tell the causes apart."""
+    others = [name for name in published if name not in (frm, to, CURRENT)]
+    return min(others, key=snap.sort_key_of, default=None)
+
+
+def drift_cause(prints: DataFrame, frm: str, to: str, published: Sequence[str] | None = None) -> DataFrame:
     """One row: are both sides one table, and does a third id tell why?
 
-    ``prints`` holds one row per published snapshot.  The probe is the oldest
-    published id that is neither side.
+    The probe is the oldest published id that is neither side; without ``published`` all
+    ids of ``prints`` count as published.
     """
     one = lambda s: F.max(F.when(F.col("snapshot") == s, F.col("fingerprint")))
     third = ~F.col("snapshot").isin(frm, to, CURRENT)
+    if published is not None:
+        # No row but those of the three slices is read; an id that is not published is never probed.
+        target = probe_of(published, frm, to)
+        prints = prints.filter(F.col("snapshot").isin(*{frm, to, *([target] if target else [])}))
+        third = F.col("snapshot") == target if target else F.lit(False)
     probe = F.min_by(
         F.struct("snapshot", "n_rows", "fingerprint"),
         F.when(third, snap.sort_key(F.col("snapshot"))),

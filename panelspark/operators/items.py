@@ -59,21 +59,29 @@ def keyed_items(items: DataFrame, spellings: Sequence[tuple[str, str]] = ITEM_SP
     return picks.withColumn("value", parse_value(F.col("value_text")))
 
 
-def unit_system(items: DataFrame) -> DataFrame:
-    """``(entity, measurement_system)``: imperial as soon as one label shows a marker."""
+def unit_system_of(labels: Column) -> Column:
+    """``imperial`` if the labels show a marker, else ``metric``."""
     marked = F.lit(False)
     for marker in IMPERIAL_MARKERS:
-        marked = marked | F.contains(squash(F.col("label")), F.lit(marker))
-    system = F.when(F.bool_or(F.coalesce(marked, F.lit(False))), "imperial").otherwise("metric")
+        marked = marked | F.contains(labels, F.lit(marker))
+    return F.when(F.coalesce(marked, F.lit(False)), "imperial").otherwise("metric")
+
+
+def unit_system(items: DataFrame) -> DataFrame:
+    """``(entity, measurement_system)``: imperial as soon as one label shows a marker."""
+    system = F.min(unit_system_of(squash(F.col("label"))))  # of both words the one of the marker comes first
     return items.groupBy("entity").agg(F.max("country").alias("country"), system.alias("measurement_system"))
 
 
 def price_records(
-    items: DataFrame, *, units: str = "metric", spellings: Sequence[tuple[str, str]] = ITEM_SPELLINGS
+    items: DataFrame, *, pages: DataFrame | None = None, units: str = "metric",
+    spellings: Sequence[tuple[str, str]] = ITEM_SPELLINGS,
 ) -> DataFrame:
     """One row per entity: values, raw texts, seen labels, and what was converted.
 
-    ``units="source"`` keeps whatever system the page was rendered in.
+    ``units="source"`` keeps whatever system the page was rendered in.  With ``pages(entity, country,
+    measurement_system)`` every page has its record, also one without a price; without, the
+    entities and their systems are those of the items.
     """
     if units not in ("metric", "source"):
         raise ValueError(f"unknown units '{units}', one of: metric, source")
@@ -81,7 +89,7 @@ def price_records(
         F.collect_list(F.struct("key", "value", "value_text", "label")).alias("k")
     )
     # Both sides carry one row per entity, so no key is hot here.
-    base = unit_system(items).join(per_entity, "entity", "left")
+    base = (unit_system(items) if pages is None else pages).join(per_entity, "entity", "left")
     k = F.coalesce(
         F.col("k"),
         F.array().cast("array<struct<key:string,value:double,value_text:string,label:string>>"),

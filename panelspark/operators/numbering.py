@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import written, small_side
+from ..session import written
 
 
 def number_rows(df: DataFrame, slices: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -31,6 +31,6 @@ def number_rows(df: DataFrame, slices: Sequence[str], order: Sequence[Column], o
         *slices, "_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     # At most (number of ranges + number of slices) rows, whatever the table holds.
-    joined = placed.join(small_side(offsets), [*slices, "_range"])
+    joined = placed.join(offsets, [*slices, "_range"])
     position = F.col("_id") - F.col("_first") + F.col("_before") + 1
     return joined.withColumn(out, position.cast("int")).drop("_id", "_range", "_first", "_before")

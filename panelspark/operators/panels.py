@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,16 +53,11 @@ def with_ranks(panel: DataFrame, order: Sequence[Column]) -> DataFrame:
     return numbered.withColumn("row_no", F.col("rank")).select(*PANEL_COLUMNS)
 
 
-def select_slice(
-    panel: DataFrame,
-    vertical: str | None = None,
-    *,
-    by: str = "city",
-    snapshot: str | None = None,
-    region: str | None = None,
+def select_view(
+    panel: DataFrame, vertical: str | None = None, *, by: str = "city", region: str | None = None,
     known: Sequence[str] = tuple(VERTICALS),
 ) -> DataFrame:
-    """One slice of a stored panel; all conditions are on partition columns."""
+    """All snapshots of one family, view and region; every condition is on a partition column."""
     if by not in VIEWS:
         raise ValueError(f"unknown view '{by}', one of: {', '.join(VIEWS)}")
     conditions = []
@@ -73,13 +69,26 @@ def select_slice(
     conditions.append(F.col("view") == view)
     if view == "region":
         conditions.append(F.col("region") == REGIONS.get(region.lower(), region))
-    conditions.append(F.col("snapshot") == (snapshot or CURRENT))
     out = panel
     for condition in conditions:
         out = out.filter(condition)
     return out
 
 
+def select_slice(
+    panel: DataFrame,
+    vertical: str | None = None,
+    *,
+    by: str = "city",
+    snapshot: str | None = None,
+    region: str | None = None,
+    known: Sequence[str] = tuple(VERTICALS),
+) -> DataFrame:
+    """One slice of a stored panel; all conditions are on partition columns."""
+    chosen = select_view(panel, vertical, by=by, region=region, known=known)
+    return chosen.filter(F.col("snapshot") == (snapshot or CURRENT))
+
+
 def slice_identity(vertical: Column, view: Column, region: Column, snapshot: Column) -> Column:
     """The one name of a slice: ``current`` and a missing snapshot are the same slice."""
     return F.concat_ws(
@@ -146,6 +155,29 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).withColumn("region", F.coalesce("region", F.lit("")))
 
 
+def write_keyed_panel(panel: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Store a panel in buckets by key, one file for each bucket and snapshot.
+
+    Aggregations and joins by key over any of its snapshots then need no exchange.  The table
+    is registered under a name made from its path.
+    """
+    buckets = buckets or max(1, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (
+        panel.select(*PANEL_COLUMNS).repartition(buckets, "place_key")
+        .write.partitionBy("snapshot").bucketBy(buckets, "place_key").sortBy("place_key")
+        .option("path", path).saveAsTable(_table_of(path))
+    )
+
+
+def _table_of(path: str) -> str:
+    return "panel_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+
+
+def read_keyed_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A panel of :func:`write_keyed_panel` of this session."""
+    return spark.table(_table_of(path))
+
+
 def write_long_panel(panel: DataFrame, path: str) -> None:
     """Store one row per (place, metric), partitioned down to the metric.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import norm_label
-from ..session import one_row, small_side
+from ..session import one_row
 
 
 def match_tier(needle: str, *, raw_fallback: bool = False) -> Column:
@@ -34,7 +34,7 @@ def find_place(
         best = one_row(hits.agg(F.min("tier").alias("_best")))
         return hits.join(best, F.col("tier") == F.col("_best")).drop("_best")
     best = hits.groupBy(*slices).agg(F.min("tier").alias("tier"))
-    return hits.join(small_side(best), [*slices, "tier"], "left_semi")
+    return hits.join(best, [*slices, "tier"], "left_semi")
 
 
 def resolve_place(

@@ -17,6 +17,7 @@ def display_keys(full: bool = False) -> list[str]:
 def compare(
     items: DataFrame,
     *,
+    pages: DataFrame | None = None,
     errors: DataFrame | None = None,
     control: DataFrame | None = None,
     units: str = "metric",
@@ -24,9 +25,10 @@ def compare(
 ) -> DataFrame:
     """One record per entity with budget, savings and rent share.
 
-    Entities that could not be read stay as rows with an error and no figures.
+    Entities that could not be read stay as rows with an error and no figures; with ``pages``
+    (``sources.pages.price_page_facts``) so do good pages without a price, without an error.
     """
-    records = item_ops.price_records(items, units=units)
+    records = item_ops.price_records(items, pages=pages, units=units)
     if errors is not None:
         records = records.unionByName(errors, allowMissingColumns=True)
     out = budgets.with_budget(records, basket)
@@ -34,10 +36,14 @@ def compare(
 
 
 def side_by_side(records: DataFrame, entities: Sequence[str], *, full: bool = False) -> DataFrame:
-    """Metrics as rows, the named entities as columns."""
+    """Metrics as rows, the named entities as columns, the cheapest first and unknown budgets last."""
     chosen = records.filter(F.col("entity").isin(*entities))
+    # As many rows as entities were named; the order of columns has to be known before the plan is.
+    known = [row["entity"] for row in chosen.groupBy("entity").agg(F.min("budget").alias("budget")).orderBy(
+        *budgets.budget_order()).collect()]
+    names = [*known, *(name for name in dict.fromkeys(entities) if name not in known)]
     long = budgets.long_figures(chosen, display_keys(full))
-    return long.groupBy("metric").pivot("entity", list(entities)).agg(F.max("value"))
+    return long.groupBy("metric").pivot("entity", names).agg(F.max("value"))
 
 
 def run_status(records: DataFrame) -> DataFrame:

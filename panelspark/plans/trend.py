@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.fingerprints import repeated_series
+from ..operators.panels import select_view
 from ..operators.places import find_place, match_tier
 from ..session import one_row
+from ..vocab import VERTICALS
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,15 @@ def trend(
     headers: DataFrame | None = None,
     unreadable: dict[str, str] | None = None,
     limit: int | None = None,
+    vertical: str | None = None,
+    by: str = "city",
+    region: str | None = None,
+    known: Sequence[str] = tuple(VERTICALS),
 ) -> Trend:
     """Follow ``place`` over all published snapshots, or the first ``limit``, in page order.
 
+    The snapshots are those of one family, view and region.
+
     The label is resolved once, in the first snapshot where exactly one row
     matches; from there on only that label counts.  Snapshots without it stay in
     the series as not found.  ``headers(snapshot, columns)`` supplies the default
@@ -46,7 +54,8 @@ def trend(
         [(i, s, errors.get(s)) for i, s in enumerate(wanted)], "pos int, snapshot string, error string"
     ))
     readable = [s for s in wanted if s not in errors]
-    rows = panel.filter(F.col("snapshot").isin(*readable) if readable else F.lit(False))
+    view = select_view(panel, vertical, by=by, region=region, known=known)
+    rows = view.filter(F.col("snapshot").isin(*readable) if readable else F.lit(False))
 
     tier = match_tier(place)
     per_tier = rows.withColumn("tier", tier).groupBy("snapshot", "tier").agg(

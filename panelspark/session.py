@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, and joins whose broadcast side is checked."""
+"""Session helpers: the shared folder, tables written there, and one-row sides."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A side is broadcast only when it was seen to hold at most this many rows.
-SMALL_SIDE_ROWS = 50_000
-
-#: A key counts as heavy above 1/HEAVY_SHARE of all rows, so at most HEAVY_SHARE
-#: keys can be heavy: that is the size bound of every heavy-key broadcast.
-HEAVY_SHARE = 20_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -47,39 +39,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it holds at most ``max_rows`` rows.
-
-    At most ``max_rows + 1`` rows reach the driver.  A larger table comes back
-    unmarked and is joined by shuffle, where adaptive execution splits hot keys.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def one_row(df: DataFrame) -> DataFrame:
     """Mark a global aggregate (exactly one row by construction) for broadcast."""
     return F.broadcast(df)
-
-
-def rows_with_counted_keys(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is listed in ``counted(on..., n)``, safe for hot keys.
-
-    ``counted`` holds one row per key with its row count ``n``; it is fixed once,
-    since its size decides the way.  Up to SMALL_SIDE_ROWS keys are broadcast, so
-    the rows are not shuffled at all.  Beyond that, keys above 1/HEAVY_SHARE of
-    the counted rows are matched by broadcast (at most HEAVY_SHARE can be) and only
-    the others by shuffle, so no shuffle partition ever receives a hot key.
-    """
-    keys = written(counted.select(*on, "n"))
-    if keys.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS:
-        return rows.join(F.broadcast(keys.select(*on)), on, "left_semi")
-    total = one_row(keys.agg(F.sum("n").alias("_total")))
-    graded = keys.crossJoin(total).withColumn("_heavy", F.col("n") * HEAVY_SHARE > F.col("_total"))
-    heavy = F.broadcast(graded.filter("_heavy").select(*on))
-    light = graded.filter("NOT _heavy").select(*on)
-    hot = rows.join(heavy, on, "left_semi")
-    cold = rows.join(heavy, on, "left_anti").join(light, on, "left_semi")
-    return hot.unionByName(cold)

@@ -1,47 +1,94 @@
-"""The stored corpus: a table partitioned by (vertical, snapshot)."""
+"""The stored corpus: one row for each slice of the panel, partitioned by table family.
+
+A row says what the slice's page held: its header in page order, the digest and the number of its
+rows, when it was read and stored, and whether it may be kept for good.  Writing replaces the rows of
+the slices that are written and carries the others of the same families over, so that a family is
+one file (or a few large ones) whatever the number of its slices.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import small_side
+from ..operators.panels import SLICE
 
 CORPUS_SCHEMA = (
-    "vertical string, snapshot string, schema_tag string, fetched_at timestamp, readable boolean, "
-    "moved boolean, keep boolean, fingerprint string, n_rows int"
+    "vertical string, view string, region string, snapshot string, schema_tag string, fetched_at timestamp, "
+    "written_at timestamp, bytes bigint, readable boolean, moved boolean, keep boolean, fingerprint string, n_rows int, "
+    "columns array<string>"
 )
-ENTRY = ["vertical", "snapshot"]
+COLUMNS = [part.strip().split(" ")[0] for part in CORPUS_SCHEMA.split(",")]
+ENTRY = SLICE
+FAMILY = "vertical"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    if not _exists(spark, path):
+        return spark.createDataFrame([], CORPUS_SCHEMA)
+    return spark.read.schema(CORPUS_SCHEMA).parquet(path)
 
 
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Stored entries with the file facts an audit compares them with."""
-    return spark.read.schema(CORPUS_SCHEMA).parquet(path).select(
-        "*",
-        F.col("_metadata.file_modification_time").alias("file_mtime"),
-        F.col("_metadata.file_size").alias("bytes"),
-    )
+    """Stored entries; ``file_mtime`` is when an entry was stored, which an audit compares with its own clock."""
+    return _scan(spark, path).withColumn("file_mtime", F.col("written_at"))
 
 
-def write_entries(entries: DataFrame, path: str) -> None:
-    """Replace exactly the (vertical, snapshot) entries that are being written."""
-    columns = [part.strip().split(" ")[0] for part in CORPUS_SCHEMA.split(",")]
+def _write(rows: DataFrame, path: str) -> None:
+    # Dynamic overwrite stages its files, so the families that are replaced may be read by the same job.
     (
-        entries.select(*columns).repartition(*ENTRY)
-        .write.partitionBy(*ENTRY).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        rows.select(*COLUMNS).hint("rebalance", FAMILY)
+        .write.partitionBy(FAMILY).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
 
 
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Replace exactly the slices that are being written; only their families are read and rewritten."""
+    fresh = entries.select(*COLUMNS)
+    stored = _scan(entries.sparkSession, path)
+    others = stored.join(fresh.select(FAMILY).distinct(), FAMILY, "left_semi").join(fresh.select(*ENTRY), ENTRY, "left_anti")
+    _write(others.unionByName(fresh), path)
+
+
+def remove_entries(spark: SparkSession, path: str, gone: Column) -> None:
+    """Take the entries that meet ``gone`` out of the store; families without one are not touched.
+
+    A family that loses its last entry loses its folder, since an overwrite without rows replaces nothing.
+    """
+    found = scan_corpus(spark, path).withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn(
+        "_folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+    touched = found.groupBy(FAMILY).agg(
+        F.bool_or("_gone").alias("touched"), F.bool_and("_gone").alias("empty"), F.collect_set("_folder").alias("folders")
+    ).filter("touched")
+    # As many rows as there are table families.
+    families = touched.collect()
+    rest = [row[FAMILY] for row in families if not row["empty"]]
+    if rest:
+        _write(found.filter(F.col(FAMILY).isin(*rest) & ~F.col("_gone")), path)
+    for folder in {folder for row in families if row["empty"] for folder in row["folders"]}:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder))
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stored_count(spark: SparkSession, path: str, written: DataFrame, schema_tag: str) -> DataFrame:
     """Read-back: how many of the written entries are found under the current schema."""
     found = scan_corpus(spark, path).filter(F.col("schema_tag") == schema_tag).filter("readable").select(*ENTRY)
     return written.select(*ENTRY).join(found, ENTRY, "left_semi").agg(F.count(F.lit(1)).alias("stored"))
 
 
+def alive(corpus: DataFrame) -> DataFrame:
+    """Entries whose slice holds rows."""
+    return corpus.filter("readable AND n_rows > 0")
+
+
 def backed_rows(panel: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Panel rows whose corpus entry still holds rows.
+    """Panel rows whose corpus entry still holds rows; the entries prune the panel's partitions at run time.
 
     A page that came back empty replaces its entry but has no rows to replace the
     stored slice with; reading through the entry leaves such a slice out.
     """
-    alive = corpus.filter("readable AND n_rows > 0").select(*ENTRY)
-    return panel.join(small_side(alive), ENTRY, "left_semi")
+    return panel.join(alive(corpus).select(*ENTRY), ENTRY, "left_semi")

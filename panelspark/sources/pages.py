@@ -6,6 +6,8 @@ by Spark, and everything after the tables are cut out is Column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +16,7 @@ from ..functions.numbers import to_number
 from ..functions.snapshots import is_snapshot_id
 from ..functions.text import country_of_link, join_key, split_place, squash
 from ..operators.headers import header_index_expr
+from ..operators.items import unit_system_of
 from ..vocab import NO_SELECTION_TEXTS, THIN_DATA_TEXT, UNKNOWN_ENTITY_TEXT
 from . import html_reader
 
@@ -118,6 +121,27 @@ def triage(pages: DataFrame, *, kind: str = "ranking") -> DataFrame:
     return found.withColumn("page_status", status(F.col("table"), F.col("text"))).drop("tables", "text")
 
 
+def _layout(header: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Position of the place column, and of the metric columns behind it with their labels."""
+    found = header_index_expr(header, "City", "Country")
+    place_at = F.coalesce(F.nullif(found, F.lit(0)), F.lit(1))
+    metrics_at = lambda at: F.filter(
+        F.transform(header, lambda h, i: F.struct(i.alias("i"), h.alias("name"))),
+        # Of equal labels the last column counts: a map holds a label once.
+        lambda e: (e["i"] > at) & (F.lower(e["name"]) != "rank") & ~F.array_contains(
+            F.slice(header, e["i"] + 2, F.size(header)), e["name"]),
+    )
+    return place_at, metrics_at
+
+
+def page_headers(triaged: DataFrame, carry: list[str]) -> DataFrame:
+    """``(carry..., columns, bytes)`` per good ranking page, also one without rows: its labels in page order, its size."""
+    place_at, metrics_at = _layout(F.col("table.header"))
+    placed = triaged.filter("page_status = 'ok'").withColumn("place_at", place_at)
+    labels = F.transform(metrics_at(F.col("place_at")), lambda e: e["name"])
+    return placed.select(*carry, labels.alias("columns"), F.octet_length(F.to_json("table")).cast("bigint").alias("bytes"))
+
+
 def ranking_rows(triaged: DataFrame, carry: list[str]) -> DataFrame:
     """Panel rows of good ranking pages.
 
@@ -125,18 +149,10 @@ def ranking_rows(triaged: DataFrame, carry: list[str]) -> DataFrame:
     counts the kept rows.  A place column found at position 0 is read as 1, the
     way the pages are laid out (the first cell is the empty rank cell).
     """
-    header = F.col("table.header")
-    found = header_index_expr(header, "City", "Country")
-    place_at = F.coalesce(F.nullif(found, F.lit(0)), F.lit(1))
-    metrics_at = F.filter(
-        F.transform(header, lambda h, i: F.struct(i.alias("i"), h.alias("name"))),
-        # Of equal labels the last column counts: a map holds a label once.
-        lambda e: (e["i"] > F.col("place_at")) & (F.lower(e["name"]) != "rank") & ~F.array_contains(
-            F.slice(header, e["i"] + 2, F.size(header)), e["name"]),
-    )
+    place_at, metrics_at = _layout(F.col("table.header"))
     good = triaged.filter("page_status = 'ok'").withColumn("place_at", place_at)
     numbered = good.select(
-        *carry, "place_at", metrics_at.alias("metrics_at"),
+        *carry, "place_at", metrics_at(F.col("place_at")).alias("metrics_at"),
         F.filter(
             F.transform(F.col("table.rows"), lambda r, i: F.struct((i + 1).alias("rank"), r.alias("cells"))),
             lambda e: F.coalesce(F.get(e["cells"], F.col("place_at")), F.lit("")) != "",
@@ -169,6 +185,16 @@ def item_rows(triaged: DataFrame, entity: str = "entity") -> DataFrame:
     )
 
 
+def price_page_facts(triaged: DataFrame, entity: str = "entity") -> DataFrame:
+    """``(entity, country, measurement_system)`` of every good price page, also one without a price.
+
+    The unit system is read off all first cells in a row, also those of rows that carry no price.
+    """
+    first = F.transform(F.filter("table.rows", lambda cells: F.size(cells) > 0), lambda cells: squash(F.get(cells, F.lit(0))))
+    return triaged.filter("page_status = 'ok'").select(
+        F.col(entity).alias("entity"), "country", unit_system_of(F.array_join(first, " ")).alias("measurement_system"))
+
+
 def error_records(triaged: DataFrame, entity: str = "entity") -> DataFrame:
     """Failed pages in the shape of a price record's error columns."""
     unread = ~F.col("has_page")

@@ -46,6 +46,18 @@ def test_median_of_a_large_tied_column(spark):
     assert one(exact_medians_of(df, {"m": F.col("v")})).m == statistics.median(values)
 
 
+def test_medians_by_rounds(spark, monkeypatch):
+    from panelspark.operators import medians
+
+    monkeypatch.setattr(medians, "FEW_VALUES", 20)
+    rng = random.Random(4)
+    values = [rng.choice([rng.gauss(0, 1e3), rng.expovariate(1e-6), 7.0]) for _ in range(30_000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, g int")
+    assert one(exact_medians_of(df, {"m": F.col("v")})).m == statistics.median(values)
+    grouped = {r.g: r.median for r in exact_medians(df, ["g"], "v").collect()}
+    assert grouped == {g: statistics.median(values[g::3]) for g in range(3)}
+
+
 def test_median_of_nothing_is_unknown(spark):
     df = spark.createDataFrame([], "v double")
     assert one(exact_medians_of(df, {"m": F.col("v")})).m is None
@@ -70,7 +82,7 @@ def status_sides(spark):
 
 
 def test_every_status(status_sides):
-    rows = diffing.diff_rows(*status_sides, COL).collect()
+    rows = diffing.diff_rows(diffing.sides(*status_sides), COL).collect()
     got = {(r.place, r.status, r.reason, r.value_from, r.value_to, r.delta, r.pct) for r in rows}
     assert got == {
         ("Rome, Italy", "moved", None, 50.0, 60.0, 10.0, 20.0),
@@ -93,7 +105,7 @@ def test_every_status(status_sides):
 
 
 def test_status_counts_name_every_status(status_sides):
-    result = movers_plan.diff(*status_sides, [COL], [COL])
+    result = movers_plan.diff(diffing.sides(*status_sides), [COL], [COL])
     counts = {r.status: r.n for r in result.counts().collect()}
     assert counts == {
         "moved": 2, "metric_absent_in_from": 1, "metric_absent_in_to": 1, "metric_absent_in_both": 1,
@@ -108,16 +120,41 @@ def test_status_counts_name_every_status(status_sides):
     }
 
 
-@pytest.mark.parametrize("small", [0, 1_000])
-def test_heavy_keys_are_kept_whole(spark, monkeypatch, small):
-    import panelspark.session as session
+def test_rows_of_a_hot_repeated_key_are_refused_whole(spark):
+    rows = [("Hot, X", {COL: float(i)}) for i in range(700)] + [(f"C{i}, X", {COL: 1.0}) for i in range(20)]
+    from_table, to_table = sides(spark, rows, rows[700:])
+    refused = diffing.diff_rows(diffing.sides(from_table, to_table), COL).filter("status = 'duplicate_key'")
+    assert refused.count() == 700 and set(column(refused, "key")) == {"hotx"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_keys_are_compared_without_an_exchange(spark, tmp_path):
+    both = panel(spark, {"2019": [(f"C{i}, X", {COL: float(i)}) for i in range(50)], "2020": [(f"C{i}, X", {COL: 1.0}) for i in range(40)]})
+    panels.write_keyed_panel(both, str(tmp_path / "keyed"), 4)
+    stored = panels.read_keyed_panel(spark, str(tmp_path / "keyed"))
+    together = diffing.sides_of(stored, "2019", "2020")
+    pairs = diffing.pair_by_key(together, COL, [COL])
+    rows = diffing.compared(pairs, together)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(rows)
+        assert "Exchange" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
+        assert sorted(r.status for r in rows.collect()) == ["delisted"] * 10 + ["moved"] * 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
-    monkeypatch.setattr(session, "HEAVY_SHARE", 4)
-    monkeypatch.setattr(session, "SMALL_SIDE_ROWS", small)
-    rows = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise((F.col("id") / 2).cast("int").cast("string")).alias("k"), "id")
-    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = session.rows_with_counted_keys(rows, counted, ["k"])
-    assert sorted(column(kept, "id")) == list(range(1000))
+
+def test_views_do_not_mix(spark):
+    city = panel(spark, {"2019": [("A, X", {COL: 1.0})], "2020": [("A, X", {COL: 3.0})]})
+    country = panel(spark, {"2019": [("A, X", {COL: 5.0})], "2020": [("A, X", {COL: 9.0})]}).withColumn("view", F.lit("country"))
+    heads = dict.fromkeys(["2019", "2020"], [COL])
+    for by, delta in (("city", 2.0), ("country", 4.0)):
+        found = movers_plan.compare_snapshots(city.unionByName(country), list(heads), heads, frm="2019", to="2020", by=by)
+        assert [r.delta for r in found.rows.collect()] == [delta]
 
 
 # ---------------------------------------------------------------------- drift alarms
@@ -130,7 +167,7 @@ def _series(n, before, after, other_before=None, other_after=None):
 
 
 def _summary(spark, left, right, columns=(COL, "Other")):
-    return one(movers_plan.diff(*sides(spark, left, right), columns, columns, COL).summary)
+    return one(movers_plan.diff(diffing.sides(*sides(spark, left, right)), columns, columns, COL).summary)
 
 
 @pytest.mark.parametrize("n,fires", [(10, True), (9, False)])
@@ -182,7 +219,7 @@ def test_empty_sides_have_unknown_shares(spark):
 def moved(spark):
     left = [("A, X", {COL: 10.0}), ("B, X", {COL: 1.0}), ("C, X", {COL: 0.0}), ("D, X", {COL: 5.0}), ("E, X", {COL: 20.0})]
     right = [("A, X", {COL: 15.0}), ("B, X", {COL: 3.0}), ("C, X", {COL: 4.0}), ("D, X", {COL: 5.0}), ("E, X", {COL: 15.0})]
-    return movers_plan.diff(*sides(spark, left, right), [COL], [COL])
+    return movers_plan.diff(diffing.sides(*sides(spark, left, right)), [COL], [COL])
 
 
 def test_orders_and_directions(moved):
@@ -239,6 +276,24 @@ def test_drift_causes(spark):
     assert healthy.drift is None and healthy.identical_tables is False and healthy.probe_snapshot is None
 
 
+def test_only_published_ids_are_probed(spark):
+    same, other = [("A, X", {COL: 1.0})], [("A, X", {COL: 2.0})]
+    tables = panel(spark, {"1900": other, "2014": same, "2019": same, "2020": same})
+    prints = fingerprints.panel_fingerprints(tables)
+    got = one(fingerprints.drift_cause(prints, "2019", "2020", ["2020", "2019", "2014"]))
+    assert (got.drift, got.probe_snapshot) == ("snapshot_parameter_ignored", "2014")
+    assert fingerprints.probe_of(["2020", "2019-mid", "2019"], "2020", "2019") == "2019-mid"
+    heads = dict.fromkeys(["2014", "2019", "2020"], [COL])
+    cause = movers_plan.compare_snapshots(tables, list(heads), heads, frm="2019", to="2020").cause
+    assert one(cause).probe_snapshot == "2014"
+
+
+def test_digest_needs_positions(spark):
+    placeless = panel(spark, {"2014": [("A, X", {COL: 1.0})]}).withColumn("row_no", F.lit(None).cast("int"))
+    with pytest.raises(Exception, match="position of every row"):
+        fingerprints.panel_fingerprints(placeless).collect()
+
+
 @pytest.mark.parametrize("copies,alarm", [(3, True), (2, False)])
 def test_repeat_alarm_needs_three(spark, copies, alarm):
     rows = [("crime", "x")] * copies + [("crime", ""), ("crime", ""), ("crime", ""), ("crime", "y")]

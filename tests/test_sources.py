@@ -129,7 +129,8 @@ def test_sinks_keep_unknowns(spark, tmp_path):
 
 
 def _pages(spark, rows):
-    return spark.createDataFrame(rows, ingest.PAGE_SCHEMA)
+    """``(vertical, snapshot, item_no, html)``, or with view and region behind the vertical."""
+    return spark.createDataFrame([row if len(row) == 6 else (row[0], "city", "", *row[1:]) for row in rows], ingest.PAGE_SCHEMA)
 
 
 def _paths(tmp_path):
@@ -137,19 +138,20 @@ def _paths(tmp_path):
             "now": F.lit("2026-08-25 00:00:00").cast("timestamp")}
 
 
-def test_batch_outcomes_and_abort(spark, tmp_path):
+def test_batch_outcomes(spark, tmp_path):
     good = page(row("", "A, X", "1", "2"))
     report = one(ingest.ingest_batch(_pages(spark, [
         ("crime", "2014", 1, good), ("crime", "2015", 2, "Cannot find"), ("crime", "2016", 3, None),
         ("crime", "2017", 4, "<p>new look</p>"), ("crime", "2018", 5, good),
     ]), **_paths(tmp_path)))
-    assert (report.planned, report.ok, report.empty, report.failed, report.unresolved, report.attempted) == (5, 1, 1, 1, 1, 4)
+    assert (report.planned, report.ok, report.empty, report.failed, report.unresolved, report.attempted) == (5, 2, 1, 1, 1, 5)
     assert report.attempted == report.ok + report.empty + report.failed + report.unresolved
     assert (report.complete, report.exit) == (False, 2)
-    assert report.aborted and report.aborted_at.snapshot == "2017" and report.stored == 1
-    stored = one(scan_corpus(spark, str(tmp_path / "corpus")))
-    assert (stored.snapshot, stored.keep, stored.moved, stored.n_rows) == ("2014", True, False, 1) and stored.bytes > 0
-    row_ = one(panels.read_panel(spark, str(tmp_path / "panel")))
+    assert report.aborted and report.aborted_at.snapshot == "2017" and report.stored == 2
+    stored = scan_corpus(spark, str(tmp_path / "corpus")).orderBy("snapshot").collect()
+    assert [(r.snapshot, r.keep, r.moved, r.n_rows) for r in stored] == [("2014", True, False, 1), ("2018", True, False, 1)]
+    assert stored[0].bytes > 0 and stored[0].columns == ["Cost Index", "Rent Index"]
+    row_ = panels.read_panel(spark, str(tmp_path / "panel")).filter("snapshot = '2014'").first()
     assert (row_.place_key, row_.metrics) == ("ax", {"Cost Index": 1.0, "Rent Index": 2.0})
 
 
@@ -201,48 +203,81 @@ def test_versions_of_one_snapshot_in_one_batch(spark, tmp_path):
     assert sorted((r.snapshot, r.place) for r in stored.collect()) == [("2014", "B, X"), ("2015", "A, X"), ("2016", "A, X")]
 
 
-def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
+def test_corpus_has_one_file_a_family_and_all_four_parts(spark, tmp_path):
+    good = page(row("", "A, X", "1", "2"))
+    rows = [(family, *view, str(2014 + n), 10 * i + n, good) for i, (family, view) in enumerate(
+        [("crime", ("city", "")), ("crime", ("country", "")), ("crime", ("region", "150")), ("traffic", ("city", ""))]) for n in range(3)]
+    for part in (rows[:5], rows[5:], rows[:2]):
+        ingest.ingest_batch(_pages(spark, part), **_paths(tmp_path))
+    corpus = scan_corpus(spark, str(tmp_path / "corpus"))
+    assert corpus.select("vertical", "view", "region", "snapshot").distinct().count() == corpus.count() == 12
+    files = [f for _, _, names in os.walk(tmp_path / "corpus") for f in names if f.endswith(".parquet")]
+    assert len(files) == 2
+    stored = panels.read_panel(spark, str(tmp_path / "panel"))
+    assert panels.select_slice(stored, "crime", region="Europe", snapshot="2015").count() == 1
+    assert panels.select_slice(stored, "crime", by="country", snapshot="2015").count() == 1
+
+
+def test_expired_entries_leave_the_store(spark, tmp_path):
+    from panelspark.operators.corpus import expired
+    from panelspark.sources.corpus_store import remove_entries, write_entries
+
+    good = page(row("", "A, X", "1", "2"))
+    ingest.ingest_batch(_pages(spark, [("crime", "2014", 1, good), ("crime", "2026", 2, good), ("traffic", "2026", 3, good)]), **_paths(tmp_path))
+    path = str(tmp_path / "corpus")
+    old = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    write_entries(scan_corpus(spark, path).drop("file_mtime").withColumn("written_at", old), path)
+    remove_entries(spark, path, expired(F.lit("2026-08-25 00:00:00").cast("timestamp")))
+    assert [(r.vertical, r.snapshot) for r in scan_corpus(spark, path).collect()] == [("crime", "2014")]  # archived
+    remove_entries(spark, path, F.lit(True))
+    assert [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")] == []
+
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    """Adds pages to the source, runs the stream once and says whether it was stopped."""
     source = str(tmp_path / "in")
-    options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp"), "max_files": 1}
-    for i, snapshot in enumerate(["2014", "2015", "2016"]):
-        _pages(spark, [("crime", snapshot, i, page(row("", f"C{i}, X", "1", "2")))]).coalesce(1).write.mode("append").parquet(source)
-        if i != 1:
-            ingest.ingest_stream(spark, source, **options).awaitTermination()
-    assert sorted(column(scan_corpus(spark, str(tmp_path / "corpus")), "snapshot")) == ["2014", "2015", "2016"]
-    reports = spark.read.parquet(str(tmp_path / "reports"))
-    assert one(reports.agg(F.sum("ok").alias("n"))).n == 3
-    assert len([d for d in os.listdir(tmp_path / "reports") if d.startswith("batch=")]) == 3
-
-
-def test_stream_loses_no_page_at_a_stop(spark, tmp_path):
-    source, good = str(tmp_path / "in"), page(row("", "A, X", "1", "2"))
     options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp")}
-    stored = lambda: sorted(column(scan_corpus(spark, str(tmp_path / "corpus")), "snapshot"))
-
-    def run(*rows):
-        _pages(spark, rows).coalesce(1).write.mode("append").parquet(source)
-        ingest.ingest_stream(spark, source, **options).awaitTermination()
-
-    broken = ("crime", "2020", 2, "<p>new look</p>")
-    run(("crime", "2019", 1, good), broken, ("crime", "2021", 3, good), ("crime", "2022", 4, None))
-    assert stored() == ["2019"]
-    failures = spark.read.parquet(str(tmp_path / "reports-failures" / "batch=0"))
-    assert {(r.snapshot, r.outcome) for r in failures.collect()} == {("2020", "unresolved")}
-    run(("crime", "2023", 5, good))
-    assert stored() == ["2019"]
-    run(("crime", "2020", 6, good), ("crime", "2022", 7, good))
-    assert stored() == ["2019", "2020", "2021", "2022", "2023"]
-    assert spark.read.schema(ingest.PAGE_SCHEMA).parquet(str(tmp_path / "reports-outstanding" / "batch=2")).count() == 0
-
-
-def test_run_ends_before_the_batch_behind_a_stop(spark, tmp_path):
-    source, good = str(tmp_path / "in"), page(row("", "A, X", "1", "2"))
-    for n, html in enumerate(["<p>new look</p>", good]):
-        _pages(spark, [("crime", str(2019 + n), n, html)]).coalesce(1).write.mode("append").parquet(source)
-    options = {**_paths(tmp_path), "report_path": str(tmp_path / "reports"), "checkpoint": str(tmp_path / "cp"), "max_files": 1}
-    with pytest.raises(Exception, match="IngestStopped"):
-        ingest.ingest_stream(spark, source, **options).awaitTermination()
-    assert os.listdir(tmp_path / "reports") == ["batch=0"]
+
+    def run(*rows, **more):
+        if rows:
+            _pages(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        try:
+            return ingest.ingest_stream(spark, source, **options, **more).first()
+        except ingest.IngestStopped as stopped:
+            return stopped
+
+    return run
+
+
+def _state(spark, tmp_path):
+    return {r.snapshot: (r.outcome, r.tries) for r in ingest.slice_state(spark, str(tmp_path / "cp")).collect()}
+
+
+def test_stream_resumes_and_keeps_what_moved(spark, tmp_path, stream):
+    a, b = page(row("", "A, X", "1", "2")), page(row("", "B, X", "1", "2"))
+    assert stream(("crime", "2014", 1, a), ("crime", "2015", 2, b), max_files=1).ok == 2
+    assert stream(("crime", "2014", 3, b), ("traffic", "2014", 4, a)).complete
+    assert stream(("crime", "2014", 5, b)).ok == 1
+    corpus = {(r.vertical, r.snapshot): r.moved for r in scan_corpus(spark, str(tmp_path / "corpus")).collect()}
+    assert corpus == {("crime", "2014"): True, ("crime", "2015"): False, ("traffic", "2014"): False}
+    places = {(r.vertical, r.snapshot): r.place for r in panels.read_panel(spark, str(tmp_path / "panel")).collect()}
+    assert places["crime", "2014"] == "B, X" and places["traffic", "2014"] == "A, X"
+    assert len([d for d in os.listdir(tmp_path / "reports") if d.startswith("run=")]) == 3
+
+
+def test_broken_page_stands_in_the_way_of_its_own_slice_alone(spark, tmp_path, stream):
+    good, broken = lambda n: page(row("", f"A{n}, X", "1", "2")), "<p>new look</p>"
+    stopped = stream(("crime", "2019", 1, good(1)), ("crime", "2020", 2, broken), ("crime", "2021", 3, good(3)), ("crime", "2022", 4, None))
+    assert isinstance(stopped, ingest.IngestStopped) and "2020" in str(stopped)
+    assert _state(spark, tmp_path) == {"2019": ("ok", 0), "2020": ("unresolved", 1), "2021": ("ok", 0), "2022": ("failed", 1)}
+    assert isinstance(stream(), ingest.IngestStopped)  # without new files the page is tried again
+    assert _state(spark, tmp_path)["2020"] == ("unresolved", 2)
+    report = stream(("crime", "2020", 6, good(6)), ("crime", "2022", 7, good(7)))  # the old page and its better one come together
+    assert (report.planned, report.ok, report.complete, report.exit) == (2, 2, True, 0)
+    assert _state(spark, tmp_path) == {s: ("ok", 0) for s in ("2019", "2020", "2021", "2022")}
+    assert stream().planned == 0
+    assert sorted(column(scan_corpus(spark, str(tmp_path / "corpus")), "snapshot")) == ["2019", "2020", "2021", "2022"]
 
 
 def test_equal_header_labels_keep_the_last_column(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import corpus as ops
 from panelspark.operators.fingerprints import distinct_tables, repeated_anywhere
-from panelspark.plans.audit import Audit, audit
+from panelspark.plans.audit import Audit, audit, stated
 
 from .registry import query
 from .sql import CORPUS
@@ -89,6 +89,36 @@ def corpus_conservation(spark, sf):
     return errors.select("vertical", F.array_join("broken", ";").alias("broken"))
 
 
+CHECKS = """ SELECT unnest([vertical, vertical, vertical]) AS scope, unnest(['classified', 'cached', 'to_fetch']) AS "check",
+      unnest([s, already_cached, to_fetch]) AS got, unnest([denominator, fresh, s - fresh]) AS wanted FROM (
+        SELECT *, fresh + stale + schema_mismatch + unreadable + absent AS s FROM {source} WHERE denominator_state = 'known')"""
+
+
+@query("conservation_checks", TOTALS + f""", checks AS ({CHECKS.format(source="by_family")}
+      UNION ALL SELECT 'all', 'classified', fresh + stale + schema_mismatch + unreadable + absent,
+        coalesce(denominator, fresh + stale + schema_mismatch + unreadable + absent) FROM totals
+      UNION ALL SELECT 'all', 'requests_planned', requests_planned, to_fetch_known + list_requests FROM totals)
+    SELECT scope, "check", CAST(got AS BIGINT) AS got, CAST(wanted AS BIGINT) AS wanted, got = wanted AS holds FROM checks""")
+def conservation_checks(spark, sf):
+    done = stated(
+        event_lists(spark, sf), event_corpus(spark, sf), now=now(), schema_tag=CORPUS_TAG,
+        verticals=FAMILIES, known=FAMILIES, max_age=MAX_AGE, list_max_age=LIST_MAX_AGE,
+    )
+    return ops.conservation_checks(done.by_family, done.totals)
+
+
+@query("conservation_broken", SQL + f""", broken AS (SELECT * REPLACE (CASE WHEN fresh > 0 THEN fresh - 1 ELSE fresh END AS fresh,
+      CASE WHEN vertical = 'click' THEN NULL ELSE to_fetch END AS to_fetch) FROM by_family), checks AS ({CHECKS.format(source="broken")})
+    SELECT scope, "check", CAST(got AS BIGINT) AS got, CAST(wanted AS BIGINT) AS wanted, coalesce(got = wanted, false) AS holds FROM checks""")
+def conservation_broken(spark, sf):
+    """A report that lost a fresh entry in every family that has one, and one cost: its faults show."""
+    lossy = _audit(spark, sf).by_family.withColumns({
+        "fresh": F.when(F.col("fresh") > 0, F.col("fresh") - 1).otherwise(F.col("fresh")),
+        "to_fetch": F.when(F.col("vertical") != "click", F.col("to_fetch")),
+    })
+    return ops.conservation_checks(lossy)
+
+
 @query("corpus_unpinned", SQL + " SELECT vertical, snapshot FROM targets WHERE NOT pinned")
 def corpus_unpinned(spark, sf):
     return _audit(spark, sf).targets.filter("NOT pinned").select("vertical", "snapshot")

@@ -25,7 +25,14 @@ def links_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.link_slugs(load(spark, sf, "pages"), 'href="/')
 
 
-@query("page_text")
+#: Script, style and comment go with what they hold, every tag parts the text, and the few named characters are put in.
+VISIBLE = r"""regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?(</(script|style)\s*>|$)|<!--.*?-->', '<>', 'g'), '(?s)<[^>]*>', ' ', 'g')"""
+NAMED = f"""replace(replace(replace(replace({VISIBLE}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+PAGE_TEXT = rf"""WITH t AS (SELECT page_id, trim(regexp_replace({NAMED}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g')) AS text FROM pages)
+    SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS digest FROM t"""
+
+
+@query("page_text", PAGE_TEXT)
 def page_text(spark, sf):
     texts = page_source.visible_text(load(spark, sf, "pages"))
     return texts.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
@@ -227,7 +234,7 @@ def _batch(spark, sf, years, path) -> None:
     pages = views.ranking_pages(spark, sf, years).filter(F.col("block") % 7 != 5)
     vertical = F.concat(F.lit("block-"), F.col("block").cast("string"))
     item_no = F.col("block") * 10_000 + F.col("snapshot").cast("int")
-    pages.select(vertical.alias("vertical"), "snapshot", item_no.cast("bigint").alias("item_no"), "html").write.mode(
+    pages.select(vertical.alias("vertical"), F.lit("city").alias("view"), F.lit("").alias("region"), "snapshot", item_no.cast("bigint").alias("item_no"), "html").write.mode(
         "append"
     ).parquet(path)
 
@@ -247,7 +254,7 @@ def ingest_stream_query(spark, sf):
         ingest_stream(
             spark, paths["pages"], panel_path=paths["panel"], corpus_path=paths["corpus"],
             report_path=paths["reports"], checkpoint=paths["checkpoint"], schema_tag="panel-2", now=views.now(),
-        ).awaitTermination()
+        )
     return scan_corpus(spark, paths["corpus"]).select("vertical", "snapshot", "n_rows", "moved", "schema_tag")
 
 

@@ -10,7 +10,7 @@ from panelspark.operators import diffing, fingerprints, headers, panels, places
 from panelspark.plans import movers as movers_plan
 from panelspark.plans.rank import rank
 from panelspark.plans.trend import trend
-from panelspark.session import one_row, scratch_path, small_side
+from panelspark.session import one_row, scratch_path
 
 from . import views
 from .registry import query
@@ -22,13 +22,8 @@ PUBLISHED = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
 ROWS = ", ".join(diffing.ROW_COLUMNS)
 
 
-def _sides(spark, sf, ranked=False) -> tuple[DataFrame, DataFrame]:
-    panel = customer_panel(spark, sf, YEARS, ranked=ranked)
-    return slice_of(panel, "1996"), slice_of(panel, "2000")
-
-
 def _comparison(spark, sf, ranked=False, column="Order Revenue") -> movers_plan.Comparison:
-    return movers_plan.diff(*_sides(spark, sf, ranked), METRICS, METRICS, column)
+    return movers_plan.diff(diffing.sides_of(customer_panel(spark, sf, YEARS, ranked=ranked), "1996", "2000"), METRICS, METRICS, column)
 
 
 MOVERS = "WITH " + PANEL + diff_ctes("1996", "2000")
@@ -123,12 +118,12 @@ DUPLICATES = "WITH " + PARTS + diff_ctes("2001", "2002")
 
 @query("movers_dup_keys", DUPLICATES + f" SELECT {ROWS} FROM rows_of")
 def movers_dup_keys(spark, sf):
-    return diffing.diff_rows(*part_panels(spark, sf), "Retail Price")
+    return diffing.diff_rows(diffing.sides(*part_panels(spark, sf)), "Retail Price")
 
 
 @query("movers_dup_counts", DUPLICATES + COUNTS)
 def movers_dup_counts(spark, sf):
-    pairs = diffing.pair_by_key(*part_panels(spark, sf), "Retail Price")
+    pairs = diffing.pair_by_key(diffing.sides(*part_panels(spark, sf)), "Retail Price")
     return diffing.status_counts(diffing.summary(pairs))
 
 
@@ -138,7 +133,7 @@ def movers_dup_counts(spark, sf):
     UNION ALL SELECT 'to', key, CASE WHEN key = '' THEN 'unkeyable_label' ELSE 'duplicate_key' END, count(*)
     FROM b_all WHERE key = '' OR n > 1 GROUP BY key""")
 def movers_excluded_keys(spark, sf):
-    return diffing.excluded_keys(diffing.pair_by_key(*part_panels(spark, sf), "Retail Price"))
+    return diffing.excluded_keys(diffing.pair_by_key(diffing.sides(*part_panels(spark, sf)), "Retail Price"))
 
 
 # A second table in which one column stood still while another moved.
@@ -154,7 +149,7 @@ def _frozen(spark, sf, column) -> movers_plan.Comparison:
         "metrics", lambda k, v: F.when(k == "Order Revenue", v * 1.5).otherwise(v)
     )
     after = before.withColumn("metrics", changed).withColumn("snapshot", F.lit("1996-mid"))
-    return movers_plan.diff(before, after, METRICS, METRICS, column)
+    return movers_plan.diff(diffing.sides(before, after), METRICS, METRICS, column)
 
 
 @query("drift_flags", FROZEN + """ SELECT count(*) AS with_metric_in_both,
@@ -291,7 +286,7 @@ def rank_top(spark, sf):
     CAST(count(*) OVER (PARTITION BY snapshot) AS INTEGER) AS "of" FROM panel""")
 def rank_positions(spark, sf):
     panel = customer_panel(spark, sf, ranked=True)
-    sized = panels.with_table_size(panel, small_side(panels.table_sizes(panel)))
+    sized = panels.with_table_size(panel, panels.table_sizes(panel))
     return sized.select("snapshot", "place", "rank", "of")
 
 
@@ -505,4 +500,12 @@ def movers_from_store(spark, sf):
     path = scratch_path(spark, "long")
     panels.write_long_panel(customer_panel(spark, sf, YEARS, ranked=True), path)
     stored = panels.read_metrics(spark, path, ["Order Revenue"])
-    return diffing.diff_rows(slice_of(stored, "1996"), slice_of(stored, "2000"), "Order Revenue")
+    return diffing.diff_rows(diffing.sides_of(stored, "1996", "2000"), "Order Revenue")
+
+
+@query("movers_from_keyed", MOVERS + f" SELECT {ROWS} FROM rows_of")
+def movers_from_keyed(spark, sf):
+    """From a panel stored in buckets by key: neither the aggregation nor the join moves a stored row."""
+    path = scratch_path(spark, "keyed")
+    panels.write_keyed_panel(customer_panel(spark, sf, YEARS, ranked=True), path)
+    return diffing.diff_rows(diffing.sides_of(panels.read_keyed_panel(spark, path), "1996", "2000"), "Order Revenue")
