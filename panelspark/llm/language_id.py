@@ -108,10 +108,10 @@ def sample(docs: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """(lang, text) of about ``rows`` labelled rows, as many of each language; all of a language that has fewer."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    # One row for each language there is.
+    # One row for each language there is, as the model has; texts are not moved for it.
     share = counts.crossJoin(counts.agg(F.count("*").alias("_langs"))).select("lang", F.expr(f"{rows} / _langs / _n").alias("_share"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text")), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.select("lang", "text", draw.alias("_draw")).join(share, "lang").filter("_draw < _share").select("lang", "text")
+    return labelled.select("lang", "text", draw.alias("_draw")).join(F.broadcast(share), "lang").filter("_draw < _share").select("lang", "text")
 
 
 def hashes_of(features: list[str]) -> np.ndarray:
