@@ -60,15 +60,22 @@ def _close(pairs: DataFrame, items: DataFrame, near: Near) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near("l", "r")).select("a", "b")
 
 
-def linked_groups(items: DataFrame, keys: DataFrame, near: Near, meets: Meets, verify: Verify) -> tuple[DataFrame, DataFrame]:
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, slot, id, leader) of the keys that at least two items have; the leader has the least id."""
+    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader <> _last")
+    return store(keys.join(buckets.select("key", "leader"), "key"), "shared-keys")
+
+
+def linked_groups(items: DataFrame, shared: DataFrame, near: Near, meets: Meets, verify: Verify) -> tuple[DataFrame, DataFrame]:
     """(id, component) of all linked items, and the links (a, b) that were verified.
 
-    ``items`` has one row for each id and what ``near`` reads; ``keys`` (key, slot, id) has
-    the keys of each item; a key belongs to one slot.
+    ``items`` has one row for each id and what ``near`` reads; ``shared`` (key, slot, id, leader) has
+    the shared keys of each item; a key belongs to one slot.  First each item is compared with two
+    leaders, the least and the one it meets most often, so this step has two pairs an item at most.
     """
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader <> _last")
-    shared = store(keys.join(buckets.select("key", "leader"), "key"), "shared-keys")
-    stars = shared.filter("id <> leader").selectExpr("leader AS a", "id AS b").distinct()
+    met = shared.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    chosen = met.groupBy("id").agg(F.min("leader").alias("least"), F.max_by("leader", F.struct("n", "leader")).alias("most"))
+    stars = chosen.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), F.col("id").alias("b"))
     first = store(verify(store(_close(stars, items, near), "pairs")), "links")
     groups = components(first)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
-import math
 import random
 import re
 import zlib
@@ -250,16 +249,23 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_lose_no_candidate_by_estimate(spark):
-    """A pair at the threshold is turned away with less than 1e-8, and one far below its expected agreement is compared."""
-    n, least = near_duplicates.HASHES + near_duplicates.FINER, near_duplicates.LEAST_MATCHES
-    assert sum(math.comb(n, k) * 0.75 ** k * 0.25 ** (n - k) for k in range(least)) < 1e-8
-    signature, finer = list(range(near_duplicates.HASHES)), list(range(near_duplicates.FINER))
-    other = [x if x < 115 else -x for x in finer]
-    row = spark.createDataFrame([((signature, finer, 100), (signature[:40] + [-1] * 20, other, 100))],
-                                "l struct<signature: array<int>, finer: array<short>, n: long>, "
-                                "r struct<signature: array<int>, finer: array<short>, n: long>")
-    assert row.filter(near_duplicates.near("l", "r")).count() == 1  # 155 of 256 agree
+def test_rarest_shingles_of_linked_sets_meet():
+    """Whatever the order, sets linked at 75 % have one of their first shingles in common; sets far apart mostly have none."""
+    draw = np.random.default_rng(3)
+    apart = 0
+    for _ in range(3000):
+        n = int(draw.integers(1, 60))
+        both = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        x = np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, n // 2 + 1), np.uint64) * np.uint64(2)))
+        y = np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, n // 2 + 1), np.uint64) * np.uint64(2)))
+        often = draw.integers(0, 5, 1 << near_duplicates.RARITY_BITS).astype(np.uint32)
+        often[near_duplicates.bucket_of(both)] += 3
+        meet = bool(set(near_duplicates.prefix_of(x, often).tolist()) & set(near_duplicates.prefix_of(y, often).tolist()))
+        shared = len(np.intersect1d(x, y))
+        linked = 100 * shared >= 75 * (len(x) + len(y) - shared)
+        assert meet or not linked
+        apart += not meet
+    assert apart > 100
 
 
 @pytest.mark.parametrize("table", ["given", "odd", "empty"])
