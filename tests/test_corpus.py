@@ -62,12 +62,12 @@ def test_age_limit_is_exclusive(spark):
 
 
 @pytest.mark.parametrize("row,source", [
-    (None, "snapshot list absent"),
-    (("traffic", ["2020"], NOW - 48 * HOUR, True, "t"), "snapshot list stale"),
-    (("traffic", ["2020"], NOW - HOUR, True, "older"), "snapshot list schema_mismatch"),
-    (("traffic", [], NOW - HOUR, True, "t"), "stored snapshot list is empty"),
-    (("traffic", ["latest"], NOW - HOUR, True, "t"), "stored snapshot list is empty"),
-    (("traffic", None, NOW - HOUR, True, "t"), "stored snapshot list is not a list"),
+    (None, "list_absent"),
+    (("traffic", ["2020"], NOW - 48 * HOUR, True, "t"), "list_stale"),
+    (("traffic", ["2020"], NOW - HOUR, True, "older"), "list_schema_mismatch"),
+    (("traffic", [], NOW - HOUR, True, "t"), "list_empty"),
+    (("traffic", ["latest"], NOW - HOUR, True, "t"), "list_empty"),
+    (("traffic", None, NOW - HOUR, True, "t"), "list_not_array"),
 ])
 def test_unknown_denominators_never_count_as_zero(spark, row, source):
     lists = [("crime", ["2020", "x", "2019"], NOW - HOUR, True, "t")] + ([row] if row else [])
@@ -111,6 +111,12 @@ def test_lost_category_is_refused(spark):
     assert one(ops.conservation_errors(wrong_cost)).broken == ["to_fetch"]
     with pytest.raises(Refused):
         ops.require_conservation(broken)
+    ops.require_conservation(done.by_family, done.totals)
+    with pytest.raises(Refused):
+        ops.require_conservation(done.by_family, done.totals.withColumn("requests_planned", F.lit(9).cast("bigint")))
+    checks = {(r.scope, r.check): r.holds for r in ops.conservation_checks(broken, done.totals).collect()}
+    assert checks == {("crime", "classified"): False, ("crime", "cached"): False, ("crime", "to_fetch"): True,
+                      ("all", "classified"): True, ("all", "requests_planned"): True}
 
 
 def test_status_and_retention(spark):

@@ -196,8 +196,8 @@ counted AS (
   FROM targets GROUP BY 1),
 by_family AS (
   SELECT l.vertical_no, l.vertical, l.list_state,
-         CASE WHEN l.list_state <> 'fresh' THEN 'snapshot list ' || l.list_state
-              WHEN l.list_empty THEN 'stored snapshot list is empty' ELSE 'stored snapshot list' END AS denominator_source,
+         CASE WHEN l.list_state <> 'fresh' THEN 'list_' || l.list_state
+              WHEN l.list_empty THEN 'list_empty' ELSE 'list_known' END AS denominator_source,
          CASE WHEN c.vertical IS NOT NULL THEN 1 END AS unrecognised_ids,
          CASE WHEN c.vertical IS NULL THEN 'unknown' ELSE 'known' END AS denominator_state,
          c.denominator, coalesce(fresh, 0) AS fresh, coalesce(stale, 0) AS stale,

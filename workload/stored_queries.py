@@ -220,7 +220,7 @@ def ingest_failures(spark, sf):
 
 @query("ingest_resume", PAGES + f""" SELECT 'block-' || CAST(block AS VARCHAR) AS vertical, snapshot,
     CASE WHEN kind IN ({BROKEN}, {MISSING}, 0) THEN 1 ELSE n_rows END AS n_rows, kind = 0 AND n_rows > 0 AS moved,
-    CASE WHEN kind IN ({BROKEN}, {MISSING}, 0) THEN ['Order Revenue'] ELSE ['Order Revenue', 'Order Count'] END AS columns
+    CASE WHEN kind IN ({BROKEN}, {MISSING}, 0) THEN 'Order Revenue' ELSE 'Order Revenue;Order Count' END AS columns
     FROM pages_of WHERE kind <> {EMPTY}""")
 def ingest_resume(spark, sf):
     root = scratch_path(spark, "resume")
@@ -229,7 +229,8 @@ def ingest_resume(spark, sf):
     for kind in (BROKEN, MISSING, 0):  # the last one changes tables that were stored before
         write_pages(spark, sf, f"{root}/pages", only=kind, mended=True)
     run_stream(spark, root)
-    return scan_corpus(spark, f"{root}/corpus").select("vertical", "snapshot", "n_rows", "moved", "columns")
+    return scan_corpus(spark, f"{root}/corpus").select(
+        "vertical", "snapshot", "n_rows", "moved", F.array_join("columns", ";").alias("columns"))
 
 
 @query("retention_applied", SLICED + """ SELECT "view", region, snapshot FROM heads WHERE snapshot >= '1999' OR "view" = 'country'""")
