@@ -4,10 +4,9 @@ Two collections of SUBKEYS short keys of ROWS minhashes each are computed; the t
 are all SUBKEYS squared pairs of one key of each collection, so 60 minhashes give 100
 tables of six.  Texts with equal shingle sets are one class from the start; classes that
 share a table key are candidates.  A candidate is turned away only where its full sets cannot
-be alike: by their sizes, or because their rarest shingles differ.  (Two sets linked at 75 % share
-one of the n - ceil(0.75 n) + 1 first shingles of each in any common order; the order here is by how often a
-shingle's bucket occurs among the candidates, so texts that only share a common passage part.)  All others are
-compared on their full sets, and linked classes form components.
+be alike: by their sizes, or by bitmaps of BITS bits.  (Two sets share at most as many shingles as
+their bitmaps share bits, and those that share a bit with another one of their own set.)  All others
+are compared on their full sets, and linked classes form components.
 
 At a similarity of exactly 0.75 a pair shares a key with probability 0.992, at 0.8 0.998, at
 0.85 0.9999.
@@ -38,8 +37,8 @@ SHINGLE = 5
 SUBKEYS, ROWS = 10, 3
 HASHES = 2 * SUBKEYS * ROWS
 
-#: Buckets in which shingles are counted to order them.
-RARITY_BITS = 20
+#: Bits of a class's bitmap; sets much larger than this are told apart by their full sets alone.
+BITS = 2048
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 512
@@ -71,17 +70,24 @@ def subkeys(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: one is set for each shingle, by its upper bits."""
+    out = np.zeros(BITS, np.uint8)
+    out[(shingles >> np.uint64(65 - BITS.bit_length())).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
 def set_hash(shingles: np.ndarray) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-SKETCH = "doc_id long, n_shingles long, set_hash binary, subkeys array<long>"
+SKETCH = "doc_id long, n_shingles long, set_hash binary, subkeys array<long>, bits array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Size, hash and short keys of each document's shingle set."""
+    """Size, hash, short keys and bitmap of each document's shingle set."""
     schema = arrow_schema(SKETCH)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +97,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = []
                 for text in part.column("text").to_pylist():
                     shingles = shingle_set(text, hashes)
-                    rows.append((len(shingles), set_hash(shingles), subkeys(minhashes(shingles))) if len(shingles) else (0, None, None))
+                    rows.append((len(shingles), set_hash(shingles), subkeys(minhashes(shingles)), bitmap(shingles))
+                                if len(shingles) else (0, None, None, None))
                 columns = zip(*rows, strict=True)
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(list(column), field.type) for column, field in
                                                                 zip(columns, list(schema)[1:], strict=True))],
@@ -108,70 +115,11 @@ def table_keys(items: DataFrame) -> DataFrame:
     return two.select(F.xxhash64(slot, "x", "y").alias("key"), slot.cast("int").alias("slot"), "id")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set_hash, shingles) of the documents with these ids, from their texts."""
-    schema = arrow_schema("id long, set_hash binary, shingles binary")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept_by_worker("word-hashes", WordHashes)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(text, hashes) for text in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array([set_hash(one) for one in sets], pa.binary()),
-                                       pa.array([one.tobytes() for one in sets], pa.binary())], schema=schema)
-
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return texts.mapInArrow(sets_of, "id long, set_hash binary, shingles binary")
-
-
-def bucket_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
-
-
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How often each bucket's shingles occur in ``sets``: one number for each of the buckets, whatever the input."""
-    schema = arrow_schema("bucket int, n long")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for raw in batch.column("shingles"):
-                np.add.at(total, bucket_of(np.frombuffer(raw.as_buffer(), np.uint64)), 1)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
-
-    counts = sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.uint32)
-    out[counts.column("bucket").to_numpy()] = np.minimum(counts.column("n").to_numpy(), np.iinfo(np.uint32).max)
-    return out
-
-
-def prefix_of(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """32 bits of each of the rarest shingles, one of which every set linked with this one has among its own."""
-    size = len(shingles) - -(-3 * len(shingles) // 4) + 1
-    rarest = np.lexsort((shingles, often[bucket_of(shingles)]))[:size]
-    return (shingles[rarest] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-
-
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(id, set_hash, prefix) of each set."""
-    often = sets.sparkSession.sparkContext.broadcast(rarity(sets))
-    schema = arrow_schema("id long, set_hash binary, prefix array<int>")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [prefix_of(np.frombuffer(raw.as_buffer(), np.uint64), often.value) for raw in batch.column("shingles")]
-            yield pa.record_batch([batch.column("id"), batch.column("set_hash"), pa.array(found, pa.list_(pa.int32()))], schema=schema)
-
-    return sets.mapInArrow(cut, "id long, set_hash binary, prefix array<int>")
-
-
 def near(l: str, r: str) -> Column:
-    """Sizes that allow the similarity, and a rare shingle in common; false only where sets cannot be linked."""
+    """Sizes and bitmaps that allow 100 * intersection >= 75 * union; false only where sets cannot be linked."""
     sizes = F.expr(f"100 * least({l}.n, {r}.n) >= 75 * greatest({l}.n, {r}.n)")
-    return sizes & F.expr(f"arrays_overlap({l}.prefix, {r}.prefix)")
+    common = f"aggregate(zip_with({l}.bits, {r}.bits, (x, y) -> bit_count(x & y)), 0, (a, c) -> a + c)"
+    return sizes & F.expr(f"7 * ({common} + least({l}.n - {l}.ones, {r}.n - {r}.ones)) >= 3 * ({l}.n + {r}.n)")
 
 
 def meets(l: str, r: str, slot: Column) -> Column:
@@ -181,8 +129,23 @@ def meets(l: str, r: str, slot: Column) -> Column:
     return slot == first[0] * SUBKEYS + first[1]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with 100 * intersection >= 75 * union of the full shingle sets."""
+    ids = store(pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b")).distinct(), "compared")
+    few = ids.count() <= BROADCAST_IDS
+    schema = arrow_schema("id long, shingles binary")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = kept_by_worker("word-hashes", WordHashes)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(text, hashes).tobytes() for text in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.binary())], schema=schema)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = store(texts.mapInArrow(sets_of, "id long, shingles binary"), "shingle-sets")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -201,14 +164,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that a document is linked with, itself included."""
     sketched = store(sketches(docs), "sketches")
     classes = store(sketched.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id")), "classes")
+    ones = F.expr("aggregate(bits, 0, (a, x) -> a + bit_count(x))")
     items = store(classes.filter("id IS NOT NULL").join(
-        sketched.selectExpr("doc_id AS id", "set_hash", "n_shingles AS n", "subkeys"),
-        ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]), "classes")
-    shared = shared_keys(table_keys(items))
-    candidates = store(shared.select("id").distinct(), "candidates")
-    sets = store(full_sets(docs, candidates), "shingle-sets")
-    items = store(items.join(prefixes(sets), ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]).drop("set_hash"), "candidates")
-    groups, _ = linked_groups(items, shared, near, meets, lambda pairs: verified(pairs, sets))
+        sketched.select(F.col("doc_id").alias("id"), "set_hash", F.col("n_shingles").alias("n"), ones.alias("ones"), "subkeys", "bits"),
+        ["id", "set_hash"]).dropDuplicates(["id", "set_hash"]).drop("set_hash"), "classes")
+    groups, _ = linked_groups(items, shared_keys(table_keys(items)), near, meets, lambda pairs: verified(pairs, docs))
     placed = classes.join(groups, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     return sketched.select("doc_id", "n_shingles", "set_hash").join(placed, "set_hash", "left").select(
         "doc_id", "n_shingles",

@@ -249,23 +249,23 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_rarest_shingles_of_linked_sets_meet():
-    """Whatever the order, sets linked at 75 % have one of their first shingles in common; sets far apart mostly have none."""
+def test_bitmaps_turn_no_linked_sets_away(spark):
+    """Whatever the sets, linked ones pass; sets that share half of theirs mostly do not."""
     draw = np.random.default_rng(3)
-    apart = 0
-    for _ in range(3000):
-        n = int(draw.integers(1, 60))
-        both = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
-        x = np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, n // 2 + 1), np.uint64) * np.uint64(2)))
-        y = np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, n // 2 + 1), np.uint64) * np.uint64(2)))
-        often = draw.integers(0, 5, 1 << near_duplicates.RARITY_BITS).astype(np.uint32)
-        often[near_duplicates.bucket_of(both)] += 3
-        meet = bool(set(near_duplicates.prefix_of(x, often).tolist()) & set(near_duplicates.prefix_of(y, often).tolist()))
+    rows, linked = [], []
+    for i in range(2000):
+        both = draw.integers(0, 1 << 63, draw.integers(1, 400), np.uint64) * np.uint64(2)
+        own = len(both) // 2 if i % 2 else len(both) // 6
+        x, y = (np.unique(np.append(both, draw.integers(0, 1 << 63, draw.integers(0, own + 1), np.uint64) * np.uint64(2))) for _ in "xy")
         shared = len(np.intersect1d(x, y))
-        linked = 100 * shared >= 75 * (len(x) + len(y) - shared)
-        assert meet or not linked
-        apart += not meet
-    assert apart > 100
+        linked.append(100 * shared >= 75 * (len(x) + len(y) - shared))
+        maps = [near_duplicates.bitmap(one) for one in (x, y)]
+        rows.append((i, *((len(one), int(np.bitwise_count(bits.view(np.uint64)).sum()), bits.tolist()) for one, bits in zip((x, y), maps, strict=True))))
+    side = "struct<n: long, ones: long, bits: array<long>>"
+    pairs = spark.createDataFrame(rows, f"i long, l {side}, r {side}")
+    passed = {row["i"] for row in pairs.filter(near_duplicates.near("l", "r")).collect()}
+    assert {i for i, one in enumerate(linked) if one} <= passed
+    assert sum(linked) > 300 and len(passed) < sum(linked) + 300
 
 
 @pytest.mark.parametrize("table", ["given", "odd", "empty"])
