@@ -19,7 +19,7 @@ role and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.llm.common import store
 
@@ -104,22 +104,46 @@ def ordered(events_linked: DataFrame) -> DataFrame:
         F.when(cyclic, "cyclic").otherwise(F.col("status")).alias("status"))
 
 
-def argument_errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """What is wrong with a call's arguments: ``schemas`` has (type, required) by tool and field."""
+def _schema(fields: dict) -> dict:
+    """A tool's schema; a plain table of (type, required) by field stands for an object without further fields."""
+    if "type" in fields and isinstance(fields["type"], str):
+        return fields
+    return {"type": "object", "properties": {field: {"type": kind} for field, (kind, _) in fields.items()},
+            "required": [field for field, (_, required) in fields.items() if required], "additionalProperties": False}
+
+
+def _faults(value: Column, schema: dict, path: str) -> Column:
+    """What is wrong with a variant, as texts: fields by name, then what lies in them, then fields that the schema has not."""
+    kind, parts = schema["type"], []
+    right = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).isin(*KINDS[kind])
+    if "enum" in schema:
+        parts.append(F.when(~F.variant_get(value, "$", "string").isin(*schema["enum"]), F.array(F.lit(f"value of {path}"))))
+    if kind == "object":
+        for field, inner in sorted(schema.get("properties", {}).items()):
+            found, where = F.variant_get(value, f"$['{field}']", "variant"), f"{path}.{field}" if path else field
+            missing = F.array(F.lit(f"missing {where}")) if field in schema.get("required", ()) else F.array().cast("array<string>")
+            parts.append(F.when(found.isNull(), missing).otherwise(_faults(found, inner, where)))
+        if schema.get("additionalProperties", True) is False:
+            known = F.array(*[F.lit(field) for field in schema.get("properties", {})]).cast("array<string>")
+            extra = F.array_sort(F.array_except(F.json_object_keys(F.to_json(value)), known))
+            parts.append(F.transform(extra, lambda key: F.concat(F.lit(f"unknown {path}." if path else "unknown "), key)))
+    if kind == "array" and "items" in schema:
+        each = F.variant_get(value, "$", "array<variant>")
+        parts.append(F.flatten(F.transform(each, lambda item: _faults(item, schema["items"], f"{path}[]"))))
+    none = F.array().cast("array<string>")
+    whole = F.concat(none, *[F.coalesce(part, none) for part in parts])
+    return F.when(~right, F.array(F.lit(f"type of {path}" if path else f"not an {kind}"))).otherwise(whole)
+
+
+def argument_errors(schemas: dict[str, dict]) -> Column:
+    """What is wrong with a call's arguments; ``schemas`` has a JSON schema by tool.
+
+    Of a schema type, properties, required, additionalProperties, items and enum count, at every depth.
+    """
     value = F.try_parse_json("body")
     by_tool = F.array(F.lit("unknown tool"))
-    for tool, fields in schemas.items():
-        faults = []
-        for field, (kind, required) in sorted(fields.items()):
-            found = F.schema_of_variant(F.variant_get(value, f"$['{field}']", "variant"))
-            right = F.regexp_extract(found, "^[A-Z]+", 0).isin(*KINDS[kind])
-            faults.append(F.when(found.isNull(), F.lit(f"missing {field}") if required else F.lit(None)).when(
-                ~right, F.lit(f"type of {field}")))
-        known = F.array(*[F.lit(field) for field in sorted(fields)])
-        extra = F.transform(F.array_sort(F.array_except(F.json_object_keys("body"), known)), lambda key: F.concat(F.lit("unknown "), key))
-        whole = F.when(~F.schema_of_variant(value).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(
-            F.concat(F.filter(F.array(*faults), lambda fault: fault.isNotNull()), F.coalesce(extra, F.array().cast("array<string>"))))
-        by_tool = F.when(F.col("name") == tool, whole).otherwise(by_tool)
+    for tool, schema in schemas.items():
+        by_tool = F.when(F.col("name") == tool, _faults(value, _schema(schema), "")).otherwise(by_tool)
     return F.when(F.col("kind") == "call", F.when(value.isNull(), F.array(F.lit("not JSON"))).otherwise(by_tool)).otherwise(
         F.array().cast("array<string>"))
 
@@ -133,39 +157,60 @@ def canonical(all_events: DataFrame) -> Column:
     return F.when(F.col("kind") == "call", call).when(F.col("kind") == "result", result).otherwise(message)
 
 
-def link(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each event: its place, status, what is wrong with its arguments, and its canonical JSON."""
     placed = ordered(linked(events(messages)))
     return placed.select("conv_id", "ready", "level", "turn", "pos", "kind", "call_id", "status",
                          argument_errors(schemas).alias("errors"), canonical(placed).alias("json"))
 
 
-#: The one tool of ``traffic``.
-ASK = {"ask": {"text": ("string", True), "turn": ("integer", True)}}
+#: The tools of ``traffic``.
+TOOLS = {
+    "ask": {"text": ("string", True), "turn": ("integer", True)},
+    "look": {"type": "object", "required": ["about", "mode"], "additionalProperties": False, "properties": {
+        "about": {"type": "object", "required": ["words"], "properties": {"words": {"type": "integer"}, "text": {"type": "string"}}},
+        "limits": {"type": "array", "items": {"type": "integer"}}, "mode": {"type": "string", "enum": ["fast", "full"]}}},
+}
 
 
 def traffic(conversations: DataFrame) -> DataFrame:
-    """The turns as tool traffic: a user's turn calls ``ask``, the turn after it is the result, each call needs the one before.
+    """The turns as tool traffic, with the faults that real traffic has, all decided by conversation and turn.
 
-    Calls are asked for by ``assistant`` messages and answered by ``tool`` messages; system turns stay as they are.
+    A user's turn calls ``look`` and ``ask``; ``ask`` needs the results of that ``look`` and of the ``ask`` two turns before.
+    The turn behind it brings both results, so ``ask`` waits within its turn.  A checksum h of conversation and turn puts
+    in wrong, missing and unknown arguments (h % 8), arguments that are no JSON (h % 17), the id of the other call
+    (h % 11) and results of calls that nobody made (h % 19); a last call has no result.  No turn looks at others.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    seen = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(order)).withColumn(
-        "asked", F.max(F.when(F.col("role") == "user", F.col("n"))).over(
-            order.rowsBetween(Window.unboundedPreceding, -1)))
-    name = lambda n: F.concat_ws("-", F.col("conv_id").cast("string"), n.cast("string"))
-    call = F.to_json(F.struct(F.array(F.struct(
-        name(F.col("n")).alias("id"), F.lit("ask").alias("name"),
-        F.struct(F.col("turn"), F.col("text")).alias("arguments"),
-        F.when(F.col("asked").isNotNull(), F.array(name(F.col("asked")))).alias("after"))).alias("tool_calls")))
-    result = F.to_json(F.struct(name(F.col("asked")).alias("tool_call_id"), F.col("text").alias("content")))
-    answers = (F.col("role") == "assistant") & F.col("asked").isNotNull()
-    return seen.select(
-        "conv_id", "turn",
-        F.when(F.col("role") == "user", "assistant").when(answers, "tool").otherwise(F.col("role")).alias("role"),
-        F.when(F.col("role") == "user", call).when(answers, result).otherwise(F.col("text")).alias("text"))
+    turn = F.col("turn").cast("long")
+    name = lambda n, more="": F.concat_ws("-", F.col("conv_id").cast("string"), n.cast("string"), *([F.lit(more)] if more else []))
+    h = F.crc32(name(turn).cast("binary"))
+    fault = h % 8
+    about = F.struct(F.when(fault != 1, F.size(F.split("text", " "))).alias("words"), "text")
+    look = F.to_json(F.struct(
+        about.alias("about"), F.when(fault == 2, F.array(F.lit("1"))).otherwise(F.array(turn.cast("string"))).alias("limits"),
+        F.when(fault == 3, "odd").otherwise("fast").alias("mode")))
+    # Numbers of an array stand without quotes, but for the fault.
+    look = F.when(fault == 2, look).otherwise(F.regexp_replace(look, r'"limits":\["([0-9]+)"\]', '"limits":[$1]'))
+    look = F.when(h % 17 == 0, "look around").otherwise(look)
+    ask = F.to_json(F.struct(
+        F.when(fault != 4, F.col("text")).alias("text"), F.when(fault != 5, turn).alias("turn"),
+        F.when(fault == 6, F.lit(True)).alias("again")))
+    ask = F.when(fault == 5, F.concat(F.lit('{"turn":"late",'), F.substring(ask, F.lit(2), F.length(ask)))).otherwise(ask)
+    call = lambda call_id, tool, arguments, after: F.struct(
+        call_id.alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"), after.alias("after"))
+    calls = F.to_json(F.struct(F.array(
+        call(name(turn, "a"), "look", look, F.array().cast("array<string>")),
+        call(F.when(h % 11 == 0, name(turn, "a")).otherwise(name(turn)), "ask", ask, F.array(name(turn, "a"), name(turn - 2))),
+    ).alias("tool_calls")))
+    result = lambda call_id: F.to_json(F.struct(call_id.alias("tool_call_id"), F.col("text").alias("content")))
+    asked = F.when(h % 19 == 0, name(turn, "nobody")).otherwise(name(turn - 1))
+    user, answer = F.col("role") == "user", F.col("role") == "assistant"
+    texts = F.when(user, F.array(calls)).when(answer, F.array(result(name(turn - 1, "a")), result(asked))).otherwise(F.array("text"))
+    return conversations.select(
+        "conv_id", "turn", F.when(user, "assistant").when(answer, "tool").otherwise(F.col("role")).alias("role"),
+        F.explode(texts).alias("text"))
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:
     """``link`` over the traffic of a table of conversations."""
-    return link(traffic(conversations), ASK)
+    return link(traffic(conversations), TOOLS)
