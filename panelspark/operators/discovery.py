@@ -78,9 +78,9 @@ def field_rows(entities: DataFrame, slug: str, key: str = "slug") -> DataFrame:
 
 def upcoming(
     meetups: DataFrame, now: Column, *, city: str | None = None, country: str | None = None,
-    days_ahead: int | None = None, limit: int = 20,
+    days_ahead: int | None = None, limit: int | None = 20,
 ) -> DataFrame:
-    """Events from ``now`` on, soonest first."""
+    """Events from ``now`` on, soonest first, each beside ``total_matching`` and ``returned``; ``limit=None`` gives all."""
     out = meetups.filter(F.col("ts") >= now)
     if days_ahead is not None:
         out = out.filter(F.col("ts") < now + F.expr(f"INTERVAL {int(days_ahead)} DAYS"))
@@ -88,7 +88,10 @@ def upcoming(
         out = out.filter(F.col("city") == city)
     if country is not None:
         out = out.filter(F.col("country") == country)
-    return out.orderBy("ts", "event_id").limit(max(0, limit))
+    total = out.agg(F.count(F.lit(1)).alias("total_matching"))
+    shown = F.col("total_matching") if limit is None else F.least("total_matching", F.lit(max(0, limit)).cast("bigint"))
+    first = out.orderBy("ts", "event_id")
+    return (first if limit is None else first.limit(max(0, limit))).crossJoin(one_row(total.withColumn("returned", shown)))
 
 
 def link_slugs(pages: DataFrame, prefix: str = "/cost-of-living/in/", charset: str = r"A-Za-z0-9\-'") -> DataFrame:

@@ -203,6 +203,22 @@ def upcoming(spark, sf):
     return found.select("event_id", "ts", "city", "country")
 
 
+@query("upcoming_counted", """WITH u AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+    SELECT event_id, count(*) OVER () AS total_matching, least(count(*) OVER (), 50) AS returned FROM u ORDER BY ts, event_id LIMIT 50""")
+def upcoming_counted(spark, sf):
+    """A cut list of fifty says how many there are."""
+    found = discovery.upcoming(event_meetups(spark, sf), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), limit=50)
+    return found.select("event_id", "total_matching", "returned")
+
+
+@query("upcoming_all", """SELECT event_id, ts, count(*) OVER () AS total_matching FROM events
+    WHERE ts >= TIMESTAMP '2024-01-10' AND event_type = 'purchase'""")
+def upcoming_all(spark, sf):
+    found = discovery.upcoming(
+        event_meetups(spark, sf), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), city="purchase", limit=None)
+    return found.select("event_id", "ts", "total_matching")
+
+
 # ---------------------------------------------------------------------- scalars
 
 CELLS = """WITH cells AS (
