@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import snapshots as snap
 from ..functions.text import join_key, split_place
+from ..session import stored_at, written
 from ..vocab import CURRENT, REGIONS, VERTICALS, VIEWS
 from .numbering import number_rows
 
 SLICE = ["vertical", "view", "region", "snapshot"]
+#: Stores deal the table families over so many folders, so that files grow with the rows and not with the families.
+FOLDER, FOLDERS = "folder", 64
 PANEL_COLUMNS = [*SLICE, "rank", "row_no", "place", "city", "subdivision", "country", "metrics", "place_key"]
 
 
@@ -132,27 +135,51 @@ def published_snapshots(panel: DataFrame) -> DataFrame:
     return ids.select("vertical", "snapshot", key["year"].alias("year"), key["half"].alias("half"))
 
 
+def folder_of(vertical: Column) -> Column:
+    """The folder of a table family in a store."""
+    return (F.crc32(F.encode(F.coalesce(vertical, F.lit("")), "UTF-8")) % FOLDERS).cast("int")
+
+
 def write_panel(panel: DataFrame, path: str) -> None:
     """Store a panel; rewriting a slice replaces only that slice.
 
-    The rebalance hint groups rows by slice and splits a slice that is too big
-    for one file, so neither tiny files nor one huge writer comes out of it.
+    A folder holds one snapshot of a view and region, and of the families those that the same
+    checksum deals into it; their other slices are carried over when one is rewritten.  The
+    rebalance hint groups rows by folder and splits one that is too big for one file, so
+    neither tiny files nor one huge writer comes out of it.
     """
+    spark, place = panel.sparkSession, ["view", "region", "snapshot", FOLDER]
+    rows = panel.select(*PANEL_COLUMNS, folder_of(F.col("vertical")).alias(FOLDER))
+    if stored_at(spark, path):
+        rows = written(rows)
+        # An empty part and a missing one share a folder.
+        keys = lambda columns: [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in columns]
+        named = [f"_{c}" for c in SLICE]
+        slices = rows.select(FOLDER, *keys(SLICE)).distinct()
+        stored = _scan_panel(spark, path).select("*", *keys(SLICE))
+        met = [FOLDER, *named[1:]]
+        others = stored.join(slices.select(*met).distinct(), met, "left_semi").join(slices.drop(FOLDER), named, "left_anti")
+        rows = others.select(*rows.columns).unionByName(rows)
+    # Dynamic overwrite stages its files, so the folders that are replaced may be read by the same job.
     (
-        panel.select(*PANEL_COLUMNS).hint("rebalance", *SLICE)
-        .write.partitionBy(*SLICE)
+        rows.hint("rebalance", *place)
+        .write.partitionBy(*place)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
+def _scan_panel(spark: SparkSession, path: str) -> DataFrame:
     schema = (
         "vertical string, view string, region string, snapshot string, rank int, row_no int, place string, "
-        "city string, subdivision string, country string, metrics map<string,double>, place_key string"
+        f"city string, subdivision string, country string, metrics map<string,double>, place_key string, {FOLDER} int"
     )
-    return spark.read.schema(schema).parquet(path).withColumn("region", F.coalesce("region", F.lit("")))
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    return _scan_panel(spark, path).drop(FOLDER).withColumn("region", F.coalesce("region", F.lit("")))
 
 
 def write_keyed_panel(panel: DataFrame, path: str, buckets: int | None = None) -> None:

@@ -39,6 +39,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_at(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def one_row(df: DataFrame) -> DataFrame:
     """Mark a global aggregate (exactly one row by construction) for broadcast."""
     return F.broadcast(df)

@@ -1,16 +1,18 @@
-"""The stored corpus: one row for each slice of the panel, partitioned by table family.
+"""The stored corpus: one row for each slice of the panel, dealt into folders by table family.
 
 A row says what the slice's page held: its header in page order, the digest and the number of its
 rows, when it was read and stored, and whether it may be kept for good.  Writing replaces the rows of
-the slices that are written and carries the others of the same families over, so that a family is
-one file (or a few large ones) whatever the number of its slices.
+the slices that are written and carries the others of the same folders over, so that a family lies in
+one file (or a few large ones) whatever the number of its slices; and as the number of folders is fixed,
+many small families share a file instead of having one each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.panels import SLICE
+from ..operators.panels import FOLDER, SLICE, folder_of
+from ..session import stored_at
 
 CORPUS_SCHEMA = (
     "vertical string, view string, region string, snapshot string, schema_tag string, fetched_at timestamp, "
@@ -19,58 +21,57 @@ CORPUS_SCHEMA = (
 )
 COLUMNS = [part.strip().split(" ")[0] for part in CORPUS_SCHEMA.split(",")]
 ENTRY = SLICE
-FAMILY = "vertical"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], CORPUS_SCHEMA)
-    return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+    """Stored entries with their folder."""
+    schema = f"{CORPUS_SCHEMA}, {FOLDER} int"
+    if not stored_at(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Stored entries; ``file_mtime`` is when an entry was stored, which an audit compares with its own clock."""
-    return _scan(spark, path).withColumn("file_mtime", F.col("written_at"))
+    return _scan(spark, path).drop(FOLDER).withColumn("file_mtime", F.col("written_at"))
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    # Dynamic overwrite stages its files, so the families that are replaced may be read by the same job.
+    # Dynamic overwrite stages its files, so the folders that are replaced may be read by the same job.
     (
-        rows.select(*COLUMNS).hint("rebalance", FAMILY)
-        .write.partitionBy(FAMILY).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        rows.select(*COLUMNS, FOLDER).hint("rebalance", FOLDER)
+        .write.partitionBy(FOLDER).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
 
 
 def write_entries(entries: DataFrame, path: str) -> None:
-    """Replace exactly the slices that are being written; only their families are read and rewritten."""
-    fresh = entries.select(*COLUMNS)
+    """Replace exactly the slices that are being written; only their folders are read and rewritten."""
+    fresh = entries.select(*COLUMNS, folder_of(F.col("vertical")).alias(FOLDER))
     stored = _scan(entries.sparkSession, path)
-    others = stored.join(fresh.select(FAMILY).distinct(), FAMILY, "left_semi").join(fresh.select(*ENTRY), ENTRY, "left_anti")
-    _write(others.unionByName(fresh), path)
+    others = stored.join(fresh.select(FOLDER).distinct(), FOLDER, "left_semi")
+    key = [F.coalesce(c, F.lit("")).alias(c) for c in ENTRY]
+    others = others.withColumn("_key", F.struct(*key)).join(
+        fresh.select(F.struct(*key).alias("_key")).distinct(), "_key", "left_anti")
+    _write(others.unionByName(fresh, allowMissingColumns=True), path)
 
 
 def remove_entries(spark: SparkSession, path: str, gone: Column) -> None:
-    """Take the entries that meet ``gone`` out of the store; families without one are not touched.
+    """Take the entries that meet ``gone`` out of the store; folders without one are not touched.
 
-    A family that loses its last entry loses its folder, since an overwrite without rows replaces nothing.
+    A folder that loses its last entry goes itself, since an overwrite without rows replaces nothing.
     """
-    found = scan_corpus(spark, path).withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn(
-        "_folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-    touched = found.groupBy(FAMILY).agg(
-        F.bool_or("_gone").alias("touched"), F.bool_and("_gone").alias("empty"), F.collect_set("_folder").alias("folders")
+    found = _scan(spark, path).withColumn("file_mtime", F.col("written_at")).withColumn("_gone", F.coalesce(gone, F.lit(False))).withColumn(
+        "_place", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
+    touched = found.groupBy(FOLDER).agg(
+        F.bool_or("_gone").alias("touched"), F.bool_and("_gone").alias("empty"), F.collect_set("_place").alias("places")
     ).filter("touched")
-    # As many rows as there are table families.
-    families = touched.collect()
-    rest = [row[FAMILY] for row in families if not row["empty"]]
+    # FOLDERS rows at most.
+    folders = touched.collect()
+    rest = [row[FOLDER] for row in folders if not row["empty"]]
     if rest:
-        _write(found.filter(F.col(FAMILY).isin(*rest) & ~F.col("_gone")), path)
-    for folder in {folder for row in families if row["empty"] for folder in row["folders"]}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(folder))
+        _write(found.filter(F.col(FOLDER).isin(*rest) & ~F.col("_gone")), path)
+    for place in {place for row in folders if row["empty"] for place in row["places"]}:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(place))
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 

@@ -169,12 +169,11 @@ def drift_answers(spark, sf):
 BROKEN, EMPTY, MISSING = 5, 3, 1
 
 
-def write_pages(spark: SparkSession, sf: str, path: str, *, only: int | None = None, mended: bool = False) -> None:
-    """All years' pages, each block of entities a family of its own; some broken, some without a table, some missing.
+def write_pages(pages: DataFrame, path: str, *, only: int | None = None, mended: bool = False) -> None:
+    """Ranking pages of all years as files, each block of entities a family of its own; some broken, some without a table, some missing.
 
     ``only`` keeps the blocks with that remainder of 7; ``mended`` gives these a page that can be read.
     """
-    pages = views.ranking_pages(spark, sf)
     kind = F.col("block") % 7
     if only is not None:
         pages = pages.filter(kind == only)
@@ -211,7 +210,7 @@ PAGES = "WITH " + PANEL + f""", pages_of AS (
     CASE kind WHEN {BROKEN} THEN 2 WHEN {MISSING} THEN 1 ELSE 0 END AS tries, kind = {BROKEN} AS waits, false AS moved FROM pages_of""")
 def ingest_failures(spark, sf):
     root = scratch_path(spark, "ingest")
-    write_pages(spark, sf, f"{root}/pages")
+    write_pages(views.ranking_pages(spark, sf), f"{root}/pages")
     run_stream(spark, root)
     run_stream(spark, root)  # nothing new: the pages that wait are tried again
     state = slice_state(spark, f"{root}/checkpoint")
@@ -224,10 +223,11 @@ def ingest_failures(spark, sf):
     FROM pages_of WHERE kind <> {EMPTY}""")
 def ingest_resume(spark, sf):
     root = scratch_path(spark, "resume")
-    write_pages(spark, sf, f"{root}/pages")
+    ranked = views.ranking_pages(spark, sf)  # ranked and stored once, read by all four
+    write_pages(ranked, f"{root}/pages")
     run_stream(spark, root)
     for kind in (BROKEN, MISSING, 0):  # the last one changes tables that were stored before
-        write_pages(spark, sf, f"{root}/pages", only=kind, mended=True)
+        write_pages(ranked, f"{root}/pages", only=kind, mended=True)
     run_stream(spark, root)
     return scan_corpus(spark, f"{root}/corpus").select(
         "vertical", "snapshot", "n_rows", "moved", F.array_join("columns", ";").alias("columns"))
