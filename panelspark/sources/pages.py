@@ -1,7 +1,7 @@
 """Web pages to rows.
 
-Only the tokenising of one page runs in Python (Arrow batches); pages are spread
-by Spark, and everything after the tables are cut out is Column expressions.
+Only the tokenising of one page runs in Python (Arrow batches, folded a few pages at a time);
+pages are spread by Spark, and everything after the tables are cut out is Column expressions.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,12 +26,20 @@ TABLE_TYPE = (
 )
 
 
+#: The same type as Arrow has it.
+_STRINGS = pa.list_(pa.string())
+ARROW_TABLES = pa.list_(pa.struct([
+    ("id", pa.string()), ("classes", _STRINGS), ("header", _STRINGS), ("rows", pa.list_(_STRINGS))]))
+#: Pages whose cells a worker holds as Python objects at once, whatever the length of an Arrow batch.
+PAGES_AT_ONCE = 32
+
 # Tasks receive these functions by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(html_reader)
 
 
 def _page_batches(keep: list[str], want_text: bool, want_tables: bool):
     to_marks, to_words, to_tables = html_reader.page_marks, html_reader.visible_words, html_reader.page_tables
+    at_once, tables_type = PAGES_AT_ONCE, ARROW_TABLES
 
     def fold(html):
         # A page's marks are dropped before the next page is read.
@@ -39,10 +48,12 @@ def _page_batches(keep: list[str], want_text: bool, want_tables: bool):
 
     def read(batches):
         for batch in batches:
-            folded = [fold(html) for html in batch["html"]]
-            batch["text"] = pd.Series([text for text, _ in folded], index=batch.index, dtype=object)
-            batch["tables"] = pd.Series([tables for _, tables in folded], index=batch.index, dtype=object)
-            yield batch[[*keep, "text", "tables"]]
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
+                folded = [fold(html) for html in part.column("html").to_pylist()]
+                yield pa.record_batch(
+                    [*(part.column(name) for name in keep), pa.array([text for text, _ in folded], pa.string()),
+                     pa.array([tables for _, tables in folded], tables_type)], names=[*keep, "text", "tables"])
 
     return read
 
@@ -57,7 +68,7 @@ def read_pages(pages: DataFrame, *, want_text: bool = True, want_tables: bool =
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
     schema += f"text string, tables array<{TABLE_TYPE}>"
     names = [f.name for f in keep]
-    return pages.select(*names, "html").mapInPandas(_page_batches(names, want_text, want_tables), schema)
+    return pages.select(*names, "html").mapInArrow(_page_batches(names, want_text, want_tables), schema)
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
