@@ -154,18 +154,22 @@ def charset_pages(spark, sf):
     kind, latin = F.col("page_id") % 4, F.col("html").rlike(LATIN)
     utf8, narrow = F.encode("html", "UTF-8"), F.encode(F.when(latin, F.col("html")), "ISO-8859-1")
     byte = lambda text: F.to_binary(F.lit(text), F.lit("hex"))
-    written = {
+    kinds = {
         "windows-1252": (kind == 1) & latin, "iso-8859-15": (kind == 2) & latin, "broken": kind == 3,
         "utf-8": (kind == 0) | ((kind != 3) & ~latin),
     }
     content = {"windows-1252": F.concat(narrow, byte("80")), "iso-8859-15": F.concat(narrow, byte("A4")),
                "broken": F.concat(utf8, byte("FF")), "utf-8": F.concat(byte("EFBBBF"), utf8)}
-    for charset, rows in written.items():
-        # A text file holds the bytes of its strings as they are; one page to a file.
-        pages.filter(rows).select("page_id", content[charset].cast("string").alias("value")).write.partitionBy("page_id").text(
-            f"{root}/{charset}")
+    chosen, value = F.lit(None).cast("string"), F.lit(None).cast("binary")
+    for charset, rows in kinds.items():
+        chosen = F.when(rows, F.lit(charset)).otherwise(chosen)
+        value = F.when(rows, content[charset]).otherwise(value)
+    # A text file holds the bytes of its strings as they are; one page to a file.  Pages are spread over all tasks, and
+    # each task puts its own files in place: moving them one by one at the end of the job would take the driver longer.
+    pages.select("page_id", chosen.alias("charset"), value.cast("string").alias("value")).filter("charset IS NOT NULL").repartition(
+        "page_id").write.partitionBy("charset", "page_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root)
-    charset = F.regexp_extract("path", r"/([^/]+)/page_id=", 1)
+    charset = F.regexp_extract("path", r"/charset=([^/]+)/page_id=", 1)
     declared = F.when(charset.isin("windows-1252", "iso-8859-15"), F.concat(F.lit("text/html; charset="), charset))
     decoded = page_source.decode_pages(files.select("path", "content"), declared)
     return decoded.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), F.md5("html").alias("digest"))
