@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import fm_index, language_id
+from panelspark.llm import common, fm_index, language_id
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -85,3 +86,17 @@ def test_item_ids_with_commas_over_several_blocks(spark):
         assert len(got) == 4 and {row[:4] for row in got} == want
         digests.add(frozenset(row[4] for row in got))
     assert len(digests) == 1
+
+
+def test_a_worker_keeps_one_thing():
+    """Before, the scorers of earlier runs and the encoders of other steps stayed in a worker for good."""
+    class Thing:
+        pass
+
+    first = common.kept_by_worker("first", Thing)
+    assert common.kept_by_worker("first", Thing) is first
+    gone = weakref.ref(first)
+    del first
+    common.kept_by_worker("second", Thing)
+    assert gone() is None
+    common.kept_by_worker("none", lambda: None)
