@@ -8,7 +8,6 @@ lately go to the library; their ids come from a table after that.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from pyspark.sql import SparkSession
 
 from panelspark.llm.common import kept_by_worker
 
-#: Cuts whose ids a worker keeps.
-CACHE_ENTRIES = 800_000
+#: Cuts whose ids a worker keeps; those not met since half as many others came are dropped.
+CACHE_ENTRIES = 1_000_000
 
 #: Words that go to the library in one string.
 ROW_WORDS = 32
@@ -32,6 +31,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: last space to the next word.
 BYTE_LEVEL_CUT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+#: White space but space and line end.
+OTHER_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 #: Where a long text may be cut for either kind.
 SINGLE_SPACE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
@@ -59,24 +61,46 @@ def split_spaced(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def split_byte_level(text: str) -> list[str]:
+    """Cuts for vocabularies of bytes.
+
+    Where each white space is one space or line end between words, plain splitting gives the same cuts as the
+    pattern, but for empty ones, which have no ids.
+    """
+    if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or OTHER_SPACE.search(text)):
+        return BYTE_LEVEL_CUT.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+def gaps(row: list[bytes | None]) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    for _ in range(row.count(None)):
+        out.append(at := row.index(None, at + 1))
+    return out
+
+
 class Known(dict):
-    """Ids by cut; a cut that is asked for in vain is noted and stands for no ids until ``learn``.
+    """Ids by cut; a cut that is asked for in vain is noted, or taken from ``before``, and has None until ``learn``.
 
     A comma or full stop behind a letter is a pre-token of its own, so such a cut is made of its parts.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, before: dict[str, bytes]) -> None:
+        self.before = before
         self.missing: list[str] = []
         self.stopped: list[str] = []
 
-    def __missing__(self, cut: str) -> bytes:
-        self[cut] = b""
+    def __missing__(self, cut: str) -> bytes | None:
+        ids = self[cut] = self.before.get(cut)
+        if ids is not None:
+            return ids
         if cut[-1:] in (",", ".") and cut[-2:-1].isalpha() and cut[-2:-1].lower().isalpha():  # it may be folded first
             self.stopped.append(cut)
             self[cut[:-1]], self[cut[-1]]  # noqa: B018  asked for, so that they are learnt
         else:
             self.missing.append(cut)
-        return b""
+        return None
 
     def learn(self, library: Callable[[list[str]], list[bytes]]) -> None:
         self.update(zip(self.missing, library(self.missing), strict=True))
@@ -107,10 +131,10 @@ class Encoder:
         drops_space = '"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true' not in (
             vocabulary.replace(" ", "").replace("\n", ""))
         self.spaced = drops_space
-        self.cuts = split_spaced if drops_space else BYTE_LEVEL_CUT.findall
+        self.cuts = split_spaced if drops_space else split_byte_level
         names = [self.tokenizer.id_to_token(i) or "" for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.edge = np.array([name.endswith("</w>") if drops_space else name.startswith("\u0120") for name in names])
-        self.known = Known()
+        self.known = Known({})
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -138,21 +162,30 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the texts together should be a few MB."""
+        if len(self.known) > CACHE_ENTRIES // 2:
+            self.known.before = {}
+            self.known = Known(self.known)
+        known = self.known
         out: list[list[bytes]] = []
-        parts: list[tuple[list[bytes], list[str]]] = []
+        open_parts: list[tuple[list[bytes | None], list[tuple[int, str]]]] = []
         for text in texts:
             out.append(ids := [])
             if self.special.search(text):
                 ids += self._library([text])
-            else:
-                parts += [(ids, self.cuts(part)) for part in segments(text)]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        for _, cuts in parts:
-            deque(map(self.known.__getitem__, cuts), maxlen=0)
-        self.known.learn(self._words)
-        for ids, cuts in parts:
-            ids += map(self.known.__getitem__, cuts)
+                continue
+            for part in segments(text):
+                cuts = self.cuts(part)
+                first = len(ids)
+                ids += map(known.get, cuts)
+                if found := gaps(ids[first:] if first else ids):
+                    open_parts.append((ids, [(first + at, cuts[at]) for at in found]))
+        for _, found in open_parts:
+            for _, cut in found:
+                known[cut]  # noqa: B018  asked for, so that it is learnt
+        known.learn(self._words)
+        for ids, found in open_parts:
+            for at, cut in found:
+                ids[at] = known[cut]
         return [b"".join(ids) for ids in out]
 
 

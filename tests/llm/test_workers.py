@@ -7,10 +7,13 @@ import subprocess
 import sys
 import weakref
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from panelspark.llm import common, fm_index, language_id
+from panelspark.llm import common, fm_index, language_id, tokens
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -100,3 +103,18 @@ def test_a_worker_keeps_one_thing():
     common.kept_by_worker("second", Thing)
     assert gone() is None
     common.kept_by_worker("none", lambda: None)
+
+
+def test_words_met_again_stay_known(monkeypatch):
+    """Before, a full table was cleared, and the most frequent words went to the library again."""
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 40)
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder, library = tokens.Encoder(vocabulary), Tokenizer.from_str(vocabulary)
+    asked = []
+    plain = encoder._library
+    encoder._library = lambda texts: asked.extend(texts) or plain(texts)
+    for i in range(60):
+        texts = [f"a frequent word, {i}abc{i} x{i}\nnew, and{i}  two\t", "", " ", "\n", "a \n b", "its frequent\0word<|endoftext|> x", "\n\nword\n"]
+        for text, raw in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(raw, encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(" frequent" in text and "endoftext" not in text for text in asked) == 1
