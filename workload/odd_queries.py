@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelspark.functions.digests import schema_tag
@@ -145,6 +148,44 @@ LATIN = r"^[\x00-\x7f\xa1-\xa3\xa5\xa7\xa9-\xb3\xb5-\xb7\xb9-\xbb\xbf-\xff]*$"
 LATIN_SQL = r"^[\x00-\x7f\x{a1}-\x{a3}\x{a5}\x{a7}\x{a9}-\x{b3}\x{b5}-\x{b7}\x{b9}-\x{bb}\x{bf}-\x{ff}]*$"
 
 
+def written_by_tasks(spark, rows, root) -> bool:
+    """Writes ``charset=.../page_id=...`` of ``rows`` (page_id, charset, value), if ``root`` is a folder that tasks can open.
+
+    Spark's writer needs a folder a page in all stores and, in a folder, two processes a file to set its rights.  Rows of
+    one page are lines of one file, as its writer has them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getScheme() != "file":
+        return False
+    store.mkdirs(path)
+    folder, at_once = path.toUri().getPath(), page_source.PAGES_AT_ONCE
+
+    def write(batches):
+        out = last = hidden = None
+
+        def placed():
+            if out is not None:
+                out.close()
+                os.replace(hidden, f"{folder}/charset={last[0]}/page_id={last[1]}")
+
+        parts = (batch.slice(first, at_once) for batch in batches for first in range(0, batch.num_rows, at_once))
+        for row in (row for part in parts for row in part.to_pylist()):
+            if (row["charset"], row["page_id"]) != last:
+                placed()
+                last = row["charset"], row["page_id"]
+                os.makedirs(f"{folder}/charset={last[0]}", exist_ok=True)
+                # Another attempt at the same task writes the same; each puts its whole file in place.
+                hidden = f"{folder}/charset={last[0]}/.{last[1]}-{uuid.uuid4().hex}"
+                out = open(hidden, "wb")
+            out.write((row["value"] or b"") + b"\n")
+        placed()
+        yield from ()
+
+    rows.sortWithinPartitions("charset", "page_id").mapInArrow(write, "page_id long").write.format("noop").mode("overwrite").save()
+    return True
+
+
 @query("charset_pages", rf"""SELECT page_id, md5(html || CASE WHEN page_id % 4 IN (1, 2) AND regexp_matches(html, '{LATIN_SQL}') THEN '€'
     WHEN page_id % 4 = 3 THEN chr(65533) ELSE '' END || chr(10)) AS digest FROM pages""")
 def charset_pages(spark, sf):
@@ -164,11 +205,13 @@ def charset_pages(spark, sf):
     for charset, rows in kinds.items():
         chosen = F.when(rows, F.lit(charset)).otherwise(chosen)
         value = F.when(rows, content[charset]).otherwise(value)
-    # A text file holds the bytes of its strings as they are; one page to a file.  Pages are spread over all tasks, and
-    # each task puts its own files in place: moving them one by one at the end of the job would take the driver longer.
-    pages.select("page_id", chosen.alias("charset"), value.cast("string").alias("value")).filter("charset IS NOT NULL").repartition(
-        "page_id").write.partitionBy("charset", "page_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root)
+    rows = pages.select("page_id", chosen.alias("charset"), value.alias("value")).filter("charset IS NOT NULL").repartition("page_id")
+    if not written_by_tasks(spark, rows, root):
+        # A text file holds the bytes of its strings as they are.  Each task puts its own files in place: moving them
+        # one by one at the end of the job would take the driver longer.
+        rows.withColumn("value", F.col("value").cast("string")).write.partitionBy("charset", "page_id").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{page_id=*,part-*}").load(root)
     charset = F.regexp_extract("path", r"/charset=([^/]+)/page_id=", 1)
     declared = F.when(charset.isin("windows-1252", "iso-8859-15"), F.concat(F.lit("text/html; charset="), charset))
     decoded = page_source.decode_pages(files.select("path", "content"), declared)
